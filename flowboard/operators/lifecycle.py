@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from flowboard.functions.timeline import epoch_of
 from flowboard.operators.scan import prefix_scan
+from flowboard.session import cut
 
 # Fixed table of legal moves: (state, event, next state). The first state is empty.
 TRANSITIONS = [
@@ -110,7 +111,7 @@ def _advance(acc: Column, i: Column) -> Column:
 def current_state(replayed: DataFrame, key: str = "submission_id", pos: str = "pos") -> DataFrame:
     """Final state and event counts per submission."""
     return replayed.groupBy(key).agg(
-        F.max_by("new_state", pos).alias("status"), F.count_if("accepted").alias("accepted_events"),
+        F.max_by("new_state", pos).alias("status"), F.count_if(F.col("accepted")).alias("accepted_events"),
         F.count_if(~F.col("accepted")).alias("rejected_events"),
     ).withColumn("terminal", is_terminal(F.col("status")))
 
@@ -150,9 +151,6 @@ def classify_health(samples: DataFrame, key: str = "submission_id", pos: str = "
     good = F.col("healthy") & (F.col("latency_ms") <= slo_ms)
     df = samples.withColumn("good", good)
     df = prefix_scan(df, [key], [F.col(pos)], chunk, {
-        "__n": ("count", F.lit(1)),
-        "__bad_pos": ("max", F.when(~F.col("good"), F.col(pos))),
-        "__good_pos": ("max", F.when(F.col("good"), F.col(pos))),
         "__bads": ("count", F.when(~F.col("good"), 1)),
         "__goods": ("count", F.when(F.col("good"), 1)),
     })
@@ -168,7 +166,8 @@ def classify_health(samples: DataFrame, key: str = "submission_id", pos: str = "
         F.when(F.col("good") & (good_streak >= healthy_after), 1)
         .when(~F.col("good") & (bad_streak >= unhealthy_after), 0)
     )
-    df = prefix_scan(df, [key], [F.col(pos)], chunk, {"__state": ("last", trigger)})
+    df = cut(df.withColumn("__trigger", trigger))
+    df = prefix_scan(df, [key], [F.col(pos)], chunk, {"__state": ("last", F.col("__trigger"))})
     state = F.when(F.col("__state") == 1, "READY").when(F.col("__state") == 0, "DEGRADED").otherwise("UNKNOWN")
     return df.select(*samples.columns, "good", state.alias("state"))
 

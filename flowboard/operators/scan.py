@@ -28,7 +28,7 @@ def prefix_scan(
     """Add one column per spec: the scan over the rows up to here within `keys`.
 
     `specs` maps an output name to (kind, value), kind in sum, count, max, min,
-    last. `chunk` must never decrease along `order`. With ``inclusive=False``
+    last. Keys and order are never NULL. `chunk` must never decrease along `order`. With ``inclusive=False``
     the row itself is left out (a lag when the kind is last). `order` must be a
     total order within a key for last and for exclusive scans to be unique.
     """
@@ -58,9 +58,10 @@ def prefix_scan(
           for name, (kind, _) in specs.items()],
     )
 
-    on = F.col(CHUNK).eqNullSafe(F.col("__k_chunk"))
+    # Plain equality: the window above and this join then share one partitioning.
+    on = F.col(CHUNK) == F.col("__k_chunk")
     for k in keys:
-        on = on & scanned[k].eqNullSafe(carry[f"__k_{k}"])
+        on = on & (scanned[k] == carry[f"__k_{k}"])
     return scanned.join(carry, on, "left").select(
         *[scanned[c] for c in df.columns],
         *[_combine(kind, F.col(f"__l_{name}"), F.col(f"__c_{name}")).alias(name)
