@@ -174,48 +174,41 @@ def _carry_over(df: DataFrame) -> DataFrame:
 
 
 def _assume(log: DataFrame, changes: DataFrame | None) -> DataFrame:
-    """Overlay changed validity of fills (known by position) on the log."""
+    """Toggle the validity of fills once per recorded change (known by position)."""
     if changes is None:
         return log
-    c = changes.select(*KEYS, "pos", F.col("valid").alias("__v"))
-    return log.join(c, KEYS + ["pos"], "left").withColumn("valid", F.coalesce("__v", "valid")).drop("__v")
+    c = changes.groupBy(*KEYS, "pos").agg((F.count(F.lit(1)) % 2 == 1).alias("__odd"))
+    return log.join(c, KEYS + ["pos"], "left").withColumn(
+        "valid", F.col("valid") != F.coalesce("__odd", F.lit(False))).drop("__odd")
 
 
 def _changed(rested: DataFrame) -> DataFrame:
-    """Fills whose maker state contradicts the validity assumed so far."""
-    made = F.col("ev") == MAKE
-    return rested.filter(made & (F.col("rests") != F.col("valid"))).select(
-        *KEYS, "pos", F.col("peer").alias("oid"), F.col("rests").alias("valid"))
+    """Fills whose maker state contradicts the validity assumed so far, under their taker."""
+    wrong = (F.col("ev") == MAKE) & (F.col("rests") != F.col("valid"))
+    return rested.filter(wrong).select(*KEYS, "pos", F.col("peer").alias("oid"))
 
 
-def rebuild(events: DataFrame, tick: float = 0.01, chunk_rows: int = 1 << 20) -> Book:
-    """Rebuild the books of all submissions at once."""
-    log = cut(_with_intent(order_log(events, chunk_rows)))
+# What a round reads of the log.
+_ROUND = [*SEGMENT, "pos", "ev", "ord", "chunk", "peer", "book_qty", "valid", "opens", "i_qty", "i_side", "i_price"]
 
-    # First assumption: a fill is valid if its maker was ever accepted before it.
-    known = log.filter(F.col("ev") == MAKE).select(*KEYS, "pos", (F.col("seg") > 0).alias("valid"))
-    log = cut(log.join(known, KEYS + ["pos"], "left"))
 
+def rebuild(events: DataFrame, tick: float = 0.01, chunk_rows: int = 1 << 20) -> Book:
+    """Rebuild the books of all submissions at once."""
+    log = cut(_with_intent(cut(order_log(events, chunk_rows))))
     multi = log.filter(F.col("opens") & (F.col("seg") > 1)).select(*ORDER).distinct()
     multi = None if multi.isEmpty() else cut(multi)
 
-    rested = cut(_resting(log, multi))
-    flips = cut(_changed(rested))
-    changes = None
+    # Start: a fill is valid if its maker was ever accepted before it. Each later round looks
+    # only at orders that took part in a fill whose validity changed in the round before.
+    known = log.filter(F.col("ev") == MAKE).select(*KEYS, "pos", (F.col("seg") > 0).alias("valid"))
+    log = cut(log.join(known, KEYS + ["pos"], "left"))
+    changes, flips = None, cut(_changed(_resting(log, multi)))
     while not flips.isEmpty():
-        old = flips if changes is None else changes.join(flips, KEYS + ["pos"], "left_anti").unionByName(flips)
-        changes = cut(old)
-        touched = flips.select(*ORDER).distinct()
-        part = _assume(log.join(touched, ORDER, "left_semi"), changes)
-        flips = cut(_changed(_resting(part, multi)))
-    if changes is not None:
-        rested = _resting(_assume(log, changes), multi)
-
-    # A cancelled order's open quantity is forgotten until it is submitted again.
-    final = _scan(rested, ORDER, {
-        "gone_pos": ("max", F.when((F.col("ev") == CANCEL) & F.col("rests"), F.col("pos")))})
-    final = cut(final)
-    return Book(log=final, fills=_fills(final, tick), lives=_lives(final, tick), tick=tick)
+        changes = flips if changes is None else changes.unionByName(flips)
+        touched = log.select(*_ROUND).join(flips.select(*ORDER).distinct(), ORDER, "left_semi")
+        flips = cut(_changed(_resting(cut(_assume(touched, changes)), multi)))
+    rested = cut(_resting(_assume(log, changes), multi))
+    return Book(log=rested, fills=_fills(rested, tick), lives=_lives(rested, tick), tick=tick)
 
 
 def _lives(log: DataFrame, tick: float) -> DataFrame:
@@ -238,7 +231,10 @@ def _fills(log: DataFrame, tick: float) -> DataFrame:
         F.when(F.col("rests"), tick_of(F.col("b_price"), tick)).alias("maker_tick"))
     open_qty = F.greatest(F.lit(0), F.col("i_qty") - (F.col("taken") - F.col("take_qty") - F.col("taken_at_submit")))
     known = F.col("i_pos").isNotNull() & (F.coalesce("gone_pos", F.lit(-1)) < F.col("i_pos"))
-    taker = log.filter(F.col("ev") == TAKE).select(
+    # A cancelled order's open quantity is forgotten until it is submitted again.
+    took = log.filter((F.col("ev") == TAKE) | ((F.col("ev") == CANCEL) & F.col("rests")))
+    took = _scan(took, ORDER, {"gone_pos": ("max", F.when(F.col("ev") == CANCEL, F.col("pos")))})
+    taker = took.filter(F.col("ev") == TAKE).select(
         *KEYS, "pos", F.col("i_side").alias("taker_side"), F.col("i_limit").alias("taker_limit"),
         F.col("i_price").alias("taker_price"), F.when(known, open_qty).alias("taker_left"))
     return maker.join(taker, KEYS + ["pos"])

@@ -10,6 +10,7 @@ per key (one row per chunk), and the carry is joined back.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -58,10 +59,9 @@ def prefix_scan(
           for name, (kind, _) in specs.items()],
     )
 
-    # Plain equality: the window above and this join then share one partitioning.
-    on = F.col(CHUNK) == F.col("__k_chunk")
-    for k in keys:
-        on = on & (scanned[k] == carry[f"__k_{k}"])
+    # Plain equality on keys, then chunk: the join reuses the window's partitioning and sort.
+    pairs = [scanned[k] == carry[f"__k_{k}"] for k in keys] + [F.col(CHUNK) == F.col("__k_chunk")]
+    on = reduce(lambda a, b: a & b, pairs)
     return scanned.join(carry, on, "left").select(
         *[scanned[c] for c in df.columns],
         *[_combine(kind, F.col(f"__l_{name}"), F.col(f"__c_{name}")).alias(name)

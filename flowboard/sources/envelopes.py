@@ -16,7 +16,7 @@ def decode_bodies(df: DataFrame, body: str = "body") -> tuple[DataFrame, DataFra
     A body is one envelope or a JSON array of them, leading whitespace allowed.
     One undecodable element rejects its whole body.
     """
-    text = F.ltrim(F.lit(" \n\t\r"), F.col(body))
+    text = F.ltrim(F.col(body), F.lit(" \n\t\r"))
     is_array = F.startswith(text, F.lit("["))
     listed = F.when(is_array, text).otherwise(F.concat(F.lit("["), text, F.lit("]")))
     checked = f"{schemas.ENVELOPE}, {_CORRUPT} STRING"
