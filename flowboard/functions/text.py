@@ -26,8 +26,14 @@ def percent_text(share: Column) -> Column:
 
 
 def grouped(x: Column, digits: int) -> Column:
-    """Thousands separators and a fixed number of decimals, halves rounded up."""
-    return F.format_number(F.round(x.cast("double"), digits), digits)
+    """Thousands separators and a fixed number of decimals.
+
+    Rounds the binary value to nearest; only exact halves (odd multiples of
+    2^-(digits+1)) need a nudge, because the formatter sends those to even.
+    """
+    x = x.cast("double")
+    tie = (x * F.lit(float(2 ** (digits + 1)))) % 2 == 1
+    return F.format_number(F.when(tie, x + 1e-6).otherwise(x), digits)
 
 
 def score_band(score: Column) -> Column:

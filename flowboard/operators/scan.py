@@ -57,7 +57,8 @@ def prefix_scan(
         F.col(CHUNK).alias("__k_chunk"),
         *[_fold("sum" if kind == "count" else kind, F.col(f"__t_{name}")).over(before).alias(f"__c_{name}")
           for name, (kind, _) in specs.items()],
-    )
+        F.count(F.lit(1)).over(before).alias("__earlier"),
+    ).filter(F.col("__earlier") > 0)  # a key's first chunk carries nothing: short keys drop out here
 
     # Plain equality on keys, then chunk: the join reuses the window's partitioning and sort.
     pairs = [scanned[k] == carry[f"__k_{k}"] for k in keys] + [F.col(CHUNK) == F.col("__k_chunk")]

@@ -10,6 +10,11 @@ from flowboard import schemas
 _CORRUPT = "_corrupt"
 
 
+def _once(df: DataFrame, **cols: Column) -> DataFrame:
+    """Add costly columns so that later filters and projections read them instead of repeating them."""
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in cols.items()]))))
+
+
 def decode_bodies(df: DataFrame, body: str = "body") -> tuple[DataFrame, DataFrame]:
     """Split request bodies into envelopes and rejected requests.
 
@@ -21,16 +26,16 @@ def decode_bodies(df: DataFrame, body: str = "body") -> tuple[DataFrame, DataFra
     listed = F.when(is_array, text).otherwise(F.concat(F.lit("["), text, F.lit("]")))
     checked = f"{schemas.ENVELOPE}, {_CORRUPT} STRING"
     options = {"columnNameOfCorruptRecord": _CORRUPT}
-    parts = df.withColumn("__items", F.from_json(listed, "array<string>")).withColumn(
-        "__envelopes", F.transform("__items", lambda i: F.from_json(i, checked, options)))
+    parts = _once(df, __text=text, __array=is_array, __items=F.from_json(listed, "array<string>"))
+    parts = _once(parts, __envelopes=F.transform("__items", lambda i: F.from_json(i, checked, options)))
     broken = F.coalesce(
         F.exists("__envelopes", lambda e: e.isNull() | e[_CORRUPT].isNotNull()), F.lit(True))
-    reason = (
-        F.when(F.length(text) == 0, "empty body")
+    is_array = F.col("__array")
+    parts = _once(parts, __reason=(
+        F.when(F.length("__text") == 0, "empty body")
         .when(broken & is_array, "invalid JSON array of envelopes")
         .when(broken | (~is_array & (F.size("__items") != 1)), "invalid envelope JSON")
-    )
-    parts = parts.withColumn("__reason", reason)
+    ))
     fields = [f.split()[0] for f in schemas.ENVELOPE.split(", ")]
     kept = [c for c in df.columns if c != body]
     good = (
@@ -100,16 +105,28 @@ def payload_of(envelopes: DataFrame, event_type: str) -> DataFrame:
 
 
 def order_stream(envelopes: DataFrame, pos: str = "seq") -> DataFrame:
-    """The four order event types as one typed table with a stream position."""
-    fields = [f.split() for f in schemas.ORDER_EVENT.split(", ")]
-    out = None
-    for kind in schemas.ORDER_TYPES:
-        rows = payload_of(envelopes.withColumn("seq", F.col(pos)), kind)
-        rows = rows.withColumn("pos", F.col("seq")).withColumn("type", F.lit(kind))
-        rows = rows.select(*[
-            F.col(n).cast(t).alias(n) if n in rows.columns else F.lit(None).cast(t).alias(n) for n, t in fields])
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    """The four order event types as one typed table with a stream position, in one pass."""
+    options = {"columnNameOfCorruptRecord": _CORRUPT}
+    parsed = {
+        f"__{kind}": F.when(F.col("type") == kind, F.from_json(
+            "payload", f"{schemas.PAYLOADS[kind]}, {_CORRUPT} STRING", options))
+        for kind in schemas.ORDER_TYPES
+    }
+    df = _once(envelopes.filter(F.col("type").isin(*schemas.ORDER_TYPES)), **parsed)
+    sound = F.lit(False)
+    for name in parsed:
+        sound = sound | (F.col(name).isNotNull() & F.col(f"{name}.{_CORRUPT}").isNull())
+    has = {kind: [f.split()[0] for f in schemas.PAYLOADS[kind].split(", ")] for kind in schemas.ORDER_TYPES}
+
+    def field(name: str, kind: str) -> Column:
+        if name in ("run_id", "submission_id", "type"):
+            return F.col(name)
+        if name == "pos":
+            return F.col(pos).alias("pos")
+        found = [F.col(f"__{t}.{name}") for t in schemas.ORDER_TYPES if name in has[t]]
+        return F.coalesce(*found).cast(kind).alias(name)
+
+    return df.filter(sound).select(*[field(*f.split()) for f in schemas.ORDER_EVENT.split(", ")])
 
 
 def lifecycle_decode(df: DataFrame, body: str = "body") -> DataFrame:

@@ -469,10 +469,12 @@ def oracle_sql() -> dict[str, str]:
         greatest(max(errors) OVER w, 1) AS hi, least(min(errors) OVER w, 0) AS lo2 FROM l20 WINDOW w AS (PARTITION BY {KEYS}))
       SELECT {KEYS}, window_start, value, round(i * CASE WHEN n > 1 THEN 280.0::DOUBLE / (n - 1) ELSE 280 END, 1) AS x,
         round(56.0::DOUBLE - (value - lo2) / CAST(hi - lo2 AS DOUBLE) * 52.0::DOUBLE - 2, 1) AS y FROM s"""
+    half_up = lambda x, d: f"printf('%.{d}f', {x} + CASE WHEN ({x} * {2 ** (d + 1)}) % 2 = 1 THEN 1e-6 ELSE 0 END)"
+    share = "(CAST(errors AS DOUBLE) / (transactions + errors) * 100)"
     q["metric_text"] = f"""WITH {TUMBLING} SELECT {KEYS}, window_start,
-      CASE WHEN p99_us < 1000 THEN p99_us || ' µs' ELSE printf('%.2f', round(p99_us / 1000.0::DOUBLE, 2)) || ' ms' END AS p99_text,
-      CASE WHEN p50_us >= 1000 THEN printf('%.1f', round(p50_us / 1000.0::DOUBLE, 1)) || 'k' ELSE CAST(p50_us AS VARCHAR) END AS tps_text,
-      printf('%.2f', round(CAST(errors AS DOUBLE) / (transactions + errors) * 100, 2)) || '%' AS error_text FROM winw"""
+      CASE WHEN p99_us < 1000 THEN p99_us || ' µs' ELSE {half_up('(p99_us / 1000.0::DOUBLE)', 2)} || ' ms' END AS p99_text,
+      CASE WHEN p50_us >= 1000 THEN {half_up('(p50_us / 1000.0::DOUBLE)', 1)} || 'k' ELSE CAST(p50_us AS VARCHAR) END AS tps_text,
+      {half_up(share, 2)} || '%' AS error_text FROM winw"""
     q["bands"] = f"""WITH {board()} SELECT {KEYS}, CASE WHEN composite >= 80 THEN 'good' WHEN composite >= 55 THEN 'ok'
         WHEN composite >= 30 THEN 'warn' ELSE 'bad' END AS score_band,
       CASE health WHEN 'READY' THEN 'good' WHEN 'DEGRADED' THEN 'warn' ELSE 'bad' END AS health_band FROM brd"""
