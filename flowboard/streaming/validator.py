@@ -1,0 +1,97 @@
+"""Keyed stateful validation of order streams with transformWithStateInPandas.
+
+State per submission: intents by order id, resting orders, totals. A
+micro-batch loads the resting book, applies its events in stream order and
+writes back only what changed, then emits the updated verdict.
+"""
+
+from __future__ import annotations
+
+import json
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+
+from flowboard.streaming.replay import Replay
+
+PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+VERDICT = (
+    "run_id string, submission_id string, pos bigint, orders_checked bigint, trades_checked bigint, "
+    "violations bigint, violations_by_rule string, correctness_score double, recent_findings string"
+)
+_INTENT = "side string, kind string, price double, quantity bigint, open bigint"
+_RESTING = "side string, tick bigint, price double, remaining bigint, place bigint"
+_TOTALS = "orders bigint, trades bigint, violations bigint, by_rule string, recent string, places bigint"
+
+
+class Validator(StatefulProcessor):
+    def __init__(self, tick: float = 0.01):
+        self.tick = tick
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.intents = handle.getMapState("intents", "oid bigint", _INTENT)
+        self.resting = handle.getMapState("resting", "oid bigint", _RESTING)
+        self.totals = handle.getValueState("totals", _TOTALS)
+
+    def _load(self, ids) -> tuple[Replay, dict, int]:
+        book = Replay(self.tick)
+        places = 0
+        if self.totals.exists():
+            orders, trades, violations, by_rule, recent, places = self.totals.get()
+            book.orders, book.trades, book.violations = orders, trades, violations
+            book.by_rule, book.recent = json.loads(by_rule), [tuple(x) for x in json.loads(recent)]
+        rows = sorted(((k[0], v) for k, v in self.resting.iterator()), key=lambda kv: kv[1][4])
+        for oid, (side, tick, price, left, _) in rows:
+            book._rest(oid, side, tick, price, left)
+        for oid in ids:
+            if self.intents.containsKey((oid,)):
+                side, kind, price, quantity, open_ = self.intents.getValue((oid,))
+                book.intent[oid] = (side, kind, price, quantity)
+                if open_ is not None:
+                    book.open[oid] = open_
+        return book, {oid: v[4] for oid, v in rows}, places
+
+    def _store(self, book: Replay, ids, place: dict, places: int) -> None:
+        for oid in ids:
+            if oid in book.intent:
+                self.intents.updateValue((oid,), (*book.intent[oid], book.open.get(oid)))
+        # Only orders named in this batch can have changed; new ones queue behind all earlier ones.
+        for oid in list(place):
+            if oid not in book.resting:
+                self.resting.removeKey((oid,))
+        for oid, (side, tick, price, left) in book.resting.items():
+            if oid in ids:
+                if oid not in place or oid in book.reopened:
+                    places += 1
+                    place[oid] = places
+                self.resting.updateValue((oid,), (side, tick, price, left, place[oid]))
+        self.totals.update((book.orders, book.trades, book.violations, json.dumps(book.by_rule),
+                            json.dumps(book.recent), places))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        batch = pd.concat(list(rows)).sort_values("pos", kind="stable")
+        events = batch.astype(object).where(batch.notna(), None).to_dict("records")
+        for e in events:
+            for name in ("order_id", "maker_order_id", "quantity", "fill_quantity", "remaining_quantity", "pos"):
+                e[name] = None if e[name] is None else int(e[name])
+        ids = {e["order_id"] for e in events} | {e["maker_order_id"] for e in events} - {None}
+        book, place, places = self._load(ids)
+        for e in events:
+            book.apply(e)
+        self._store(book, ids, place, places)
+        yield pd.DataFrame([{
+            "run_id": key[0], "submission_id": key[1], "pos": events[-1]["pos"], "orders_checked": book.orders,
+            "trades_checked": book.trades, "violations": book.violations,
+            "violations_by_rule": json.dumps(book.by_rule, sort_keys=True), "correctness_score": book.score,
+            "recent_findings": json.dumps(book.recent)}])
+
+    def close(self) -> None:
+        pass
+
+
+def verdict_stream(order_events: DataFrame, tick: float = 0.01) -> DataFrame:
+    """Updated verdict of every submission a micro-batch touched."""
+    return order_events.groupBy("run_id", "submission_id").transformWithStateInPandas(
+        statefulProcessor=Validator(tick), outputStructType=VERDICT, outputMode="Update", timeMode="None")
