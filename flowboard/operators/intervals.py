@@ -22,8 +22,12 @@ def _bits(n: Column) -> Column:
 
 
 def blocks(intervals: DataFrame, lo: Column, hi: Column) -> DataFrame:
-    """Cover [lo, hi] by aligned blocks: adds `level` and `block`."""
-    df = intervals.withColumn("__a", lo.cast("bigint")).withColumn("__b", hi.cast("bigint") + 1)
+    """Cover [lo, hi] (positions from 0) by aligned blocks: adds `level` and `block`.
+
+    Positions count from 1 inside, so block 0 never occurs and a point needs no
+    sizes beyond its own highest bit.
+    """
+    df = intervals.withColumn("__a", lo.cast("bigint") + 1).withColumn("__b", hi.cast("bigint") + 2)
     df = df.filter(F.col("__a") < F.col("__b"))
     pieces = F.expr(
         """
@@ -54,12 +58,12 @@ def stab(
     nodes = blocks(intervals, F.col(lo), F.col(hi)).groupBy(*keys, "level", "block").agg(
         *[c.alias(n) for n, c in aggs.items()])
     pts = points.select(*keys, F.col(at).cast("bigint").alias(at)).distinct()
-    group = F.shiftright(F.col(at), low_bits)
+    group = F.shiftright(F.col(at) + 1, low_bits)
     up = [c.alias(n) for n, c in again.items()]
 
     small = nodes.filter(F.col("level") < low_bits)
     per_point = pts.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(low_bits - 1)))).withColumn(
-        "block", F.expr(f"shiftright(`{at}`, level)"))
+        "block", F.expr(f"shiftright(`{at}` + 1, level)"))
     near = per_point.join(small, keys + ["level", "block"]).select(*keys, at, *aggs)
 
     large = nodes.filter(F.col("level") >= low_bits)

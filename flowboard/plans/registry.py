@@ -12,8 +12,9 @@ from flowboard.functions.scoring import ScoreConfig
 from flowboard.functions.timeline import HOUR, nanos
 from flowboard.operators import board, fleet, histograms, ingest, lifecycle, orderbook, rules, tables, windows
 from flowboard.plans import views
-from flowboard.session import cut, prepare
+from flowboard.session import cut, new_path, prepare
 from flowboard.sources import envelopes
+from flowboard.streaming import jobs
 
 # The tables are sparse in time: one-hour slots, six-hour windows, 60 slots of retention.
 SLOT = HOUR
@@ -591,3 +592,58 @@ def archive_audit(spark, sf):
 @query
 def artifact_digest(spark, sf):
     return lifecycle.check_artifacts(views.artifacts(spark, sf))
+
+
+# ---- streams ------------------------------------------------------------------------------
+
+def _event_stream(spark, sf):
+    """The events table as a file stream."""
+    return jobs.file_source(spark, f"{sf}/events*.parquet", views.table(spark, sf, "events").schema, "parquet")
+
+
+def _drain(spark, run):
+    """Run a job over all data at hand; returns the folder it wrote."""
+    out = new_path(spark, "stream")
+    run(out, new_path(spark, "progress")).awaitTermination()
+    return out
+
+
+@query
+def stream_tumbling_windows(spark, sf):
+    """Windows the watermark has closed; the last ones stay open."""
+    outcomes = windows.ack_outcomes(views.from_events(_event_stream(spark, sf)))
+    out = _drain(spark, lambda o, c: jobs.tumbling(outcomes, o, c, WIDTH, SLOT, RETENTION))
+    return _rounded(spark.read.parquet(out).select(windows.WINDOW_COLUMNS), "tps", "error_rate", "mean_us")
+
+
+@query
+def stream_sliding_windows(spark, sf):
+    outcomes = windows.ack_outcomes(views.from_events(_event_stream(spark, sf)))
+    out = _drain(spark, lambda o, c: jobs.sliding(outcomes, o, c, WIDTH, SLOT, RETENTION))
+    return _rounded(spark.read.parquet(out).select(windows.WINDOW_COLUMNS), "tps", "error_rate", "mean_us")
+
+
+@query
+def stream_routes(spark, sf):
+    bodies = views.from_events_body(_event_stream(spark, sf))
+    out = _drain(spark, lambda o, c: jobs.ingest(bodies, o, c))
+    return spark.read.parquet(f"{out}/routed").groupBy("topic", "reason").agg(F.count(F.lit(1)).alias("events"))
+
+
+@query
+def stream_dedupe(spark, sf):
+    """Every event delivered twice, kept once."""
+    twice = _event_stream(spark, sf).withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2))))
+    once = jobs.dedupe(twice.withColumn("at", F.col("ts").cast("timestamp")), ["event_id"], "at", "1 hour")
+    out = _drain(spark, lambda o, c: jobs.start(once, lambda b, i: tables.write_changes(b, o, i), c))
+    return spark.read.parquet(out).select("event_id", "user_id", "event_type", "value")
+
+
+@query
+def stream_board(spark, sf):
+    """Scores and ranks from a stream of closed tumbling windows."""
+    w = cut(_tumbling(spark, sf))
+    source = jobs.file_source(spark, w.inputFiles()[0].rsplit("/", 1)[0], w.schema, "parquet")
+    out = _drain(spark, lambda o, c: jobs.score_board(source, lambda: None, o, c, CONFIG))
+    current = tables.read_current(spark, f"{out}/board", KEYS)
+    return current.select(*_SCORE_COLUMNS, "rank", "prev_rank")

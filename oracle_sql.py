@@ -486,6 +486,18 @@ def oracle_sql() -> dict[str, str]:
         u AS (SELECT *, 0 AS g FROM a UNION ALL SELECT *, 1 AS g FROM b)
       SELECT {KEYS}, max(updated_at) AS updated_at, arg_max(total_transactions, (updated_at, g)) AS total_transactions,
         round(max(peak_tps), 9) AS peak_tps, round(arg_max(current_tps, (updated_at, g)), 9) AS current_tps FROM u GROUP BY {KEYS}"""
+    # streams
+    closed = "WHERE window_end <= (SELECT max(ts) - INTERVAL 60 HOUR FROM events)"
+    for kind in ("tumbling", "sliding"):
+        q[f"stream_{kind}_windows"] = f"{q[f'{kind}_windows']} {closed}"
+    q["stream_routes"] = f"WITH {ENVELOPES} SELECT topic, reason, count(*) AS events FROM routed GROUP BY topic, reason"
+    q["stream_dedupe"] = "SELECT event_id, user_id, event_type, value FROM events"
+    q["stream_board"] = f"""WITH {TUMBLING}, {STABILITY}, lw AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {KEYS}
+        ORDER BY window_start DESC) AS rn FROM winw) JOIN stab USING ({KEYS}) WHERE rn = 1),
+      sco AS ({score_sql('lw', '1.0::DOUBLE', 'tps_cov')})
+      SELECT {KEYS}, latency_score, throughput_score, correctness_score, stability_score, composite,
+        row_number() OVER (PARTITION BY run_id ORDER BY composite DESC, p99_us, submission_id) AS rank,
+        CAST(0 AS BIGINT) AS prev_rank FROM sco"""
     # lifecycle
     q["submission_checks"] = r"""WITH r AS (SELECT c_custkey AS request_id, md5(c_name) AS h, c_nationkey AS n, c_name,
         CASE c_mktsegment WHEN 'MACHINERY' THEN 'cpp' WHEN 'BUILDING' THEN 'rust' WHEN 'FURNITURE' THEN 'java' ELSE 'go' END AS lang,
