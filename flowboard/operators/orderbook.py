@@ -21,8 +21,10 @@ from flowboard.operators.scan import prefix_scan
 from flowboard.session import cut
 
 KEYS = ["run_id", "submission_id"]
-ORDER = KEYS + ["oid"]
+# The distinct part first: sorts then compare on it and rarely reach the strings.
+ORDER = ["oid"] + KEYS
 SEGMENT = ORDER + ["seg"]
+AT = ["pos"] + KEYS
 
 # Kinds of log rows, in the order they apply at one stream position.
 SUBMIT, ACK, CANCEL, MAKE, TAKE = range(5)
@@ -158,8 +160,8 @@ def _carry_over(df: DataFrame) -> DataFrame:
         for batch in batches:
             out = []
             for r in batch.itertuples(index=False):
-                if (r.run_id, r.submission_id, r.oid) != key:
-                    key, state = (r.run_id, r.submission_id, r.oid), None
+                if (r.oid, r.run_id, r.submission_id) != key:
+                    key, state = (r.oid, r.run_id, r.submission_id), None
                 carried = state is not None
                 if not carried:
                     state = (r.cap, r.start, r.b_side, r.b_price, r.cap == 0)
@@ -177,8 +179,8 @@ def _assume(log: DataFrame, changes: DataFrame | None) -> DataFrame:
     """Toggle the validity of fills once per recorded change (known by position)."""
     if changes is None:
         return log
-    c = changes.groupBy(*KEYS, "pos").agg((F.count(F.lit(1)) % 2 == 1).alias("__odd"))
-    return log.join(c, KEYS + ["pos"], "left").withColumn(
+    c = changes.groupBy(*AT).agg((F.count(F.lit(1)) % 2 == 1).alias("__odd"))
+    return log.join(c, AT, "left").withColumn(
         "valid", F.col("valid") != F.coalesce("__odd", F.lit(False))).drop("__odd")
 
 
@@ -191,24 +193,31 @@ def _changed(rested: DataFrame) -> DataFrame:
 # What a round reads of the log.
 _ROUND = [*SEGMENT, "pos", "ev", "ord", "chunk", "peer", "book_qty", "valid", "opens", "i_qty", "i_side", "i_price"]
 
+_FOLD = 50
+
 
 def rebuild(events: DataFrame, tick: float = 0.01, chunk_rows: int = 1 << 20) -> Book:
     """Rebuild the books of all submissions at once."""
     log = cut(_with_intent(cut(order_log(events, chunk_rows))))
-    multi = log.filter(F.col("opens") & (F.col("seg") > 1)).select(*ORDER).distinct()
-    multi = None if multi.isEmpty() else cut(multi)
+    again = log.filter(F.col("opens") & (F.col("seg") > 1)).select(*ORDER)
+    multi = None if again.isEmpty() else cut(again.distinct())
 
     # Start: a fill is valid if its maker was ever accepted before it. Each later round looks
     # only at orders that took part in a fill whose validity changed in the round before.
     known = log.filter(F.col("ev") == MAKE).select(*KEYS, "pos", (F.col("seg") > 0).alias("valid"))
-    log = cut(log.join(known, KEYS + ["pos"], "left"))
+    log = cut(log.join(known, AT, "left"))
+    size = log.count()
     changes, flips = None, cut(_changed(_resting(log, multi)))
-    while not flips.isEmpty():
+    while (count := flips.count()) > 0:
         changes = flips if changes is None else changes.unionByName(flips)
+        if count > size // _FOLD:
+            # Many changes: write them into the log once, so that later rounds overlay few.
+            log, changes = cut(_assume(log, changes)), None
         touched = log.select(*_ROUND).join(flips.select(*ORDER).distinct(), ORDER, "left_semi")
         flips = cut(_changed(_resting(cut(_assume(touched, changes)), multi)))
-    rested = cut(_resting(_assume(log, changes), multi))
-    return Book(log=rested, fills=_fills(rested, tick), lives=_lives(rested, tick), tick=tick)
+    rested = _resting(_assume(log, changes), multi)
+    rested = cut(rested.drop("side", "limit", "price", "book_qty", "valid", "used", "cancels", "cap", "b_empty", "carried"))
+    return Book(log=rested, fills=cut(_fills(rested, tick)), lives=cut(_lives(rested, tick)), tick=tick)
 
 
 def _lives(log: DataFrame, tick: float) -> DataFrame:
@@ -237,7 +246,7 @@ def _fills(log: DataFrame, tick: float) -> DataFrame:
     taker = took.filter(F.col("ev") == TAKE).select(
         *KEYS, "pos", F.col("i_side").alias("taker_side"), F.col("i_limit").alias("taker_limit"),
         F.col("i_price").alias("taker_price"), F.when(known, open_qty).alias("taker_left"))
-    return maker.join(taker, KEYS + ["pos"])
+    return maker.join(taker, AT)
 
 
 def depth(book: Book, at: int | None = None) -> DataFrame:

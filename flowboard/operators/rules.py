@@ -53,8 +53,8 @@ def checked_fills(book: Book) -> DataFrame:
         F.max(F.when(F.col("side") == SELL, F.col("best"))).alias("ask_after"))
     first = front.select(*KEYS, F.col("at").alias("pos"), "front_start", "front_id")
     crossed = exhausted & (F.col("bid_after") >= F.col("ask_after"))
-    out = fills.join(mine, KEYS + ["maker_side", "pos"], "left").join(first, KEYS + ["pos"], "left").join(
-        sides, KEYS + ["pos"], "left")
+    out = fills.join(mine, ["pos", "maker_side"] + KEYS, "left").join(first, ["pos"] + KEYS, "left").join(
+        sides, ["pos"] + KEYS, "left")
     return out.withColumn(
         "crossed_after", F.coalesce(F.col("maker_rests") & crossed, F.lit(False))).drop("bid_after", "ask_after")
 

@@ -300,6 +300,11 @@ def _book(spark, sf):
     return _BOOKS[key]
 
 
+def forget_books() -> None:
+    """Rebuild books on the next use."""
+    _BOOKS.clear()
+
+
 @query
 def order_lifetimes(spark, sf):
     lives = _book(spark, sf)[0].lives
