@@ -184,6 +184,11 @@ def latest(rows: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
     return rows.groupBy(key).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("r")).select(key, "r.*")
 
 
+def newest_first(rows: DataFrame, time: str, tie: str) -> DataFrame:
+    """Listing order of submissions and audit rows: a distributed range sort."""
+    return rows.orderBy(F.col(time).desc(), F.col(tie).desc())
+
+
 def endpoint_state(actions: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
     """Latest endpoint per submission with ACTIVE or INACTIVE from its last action."""
     now = latest(actions, key, order)

@@ -35,8 +35,7 @@ def write_changes(rows: DataFrame, path: str, batch_id: int) -> None:
     rows.write.mode("overwrite").parquet(f"{path.rstrip('/')}/{BATCH}={batch_id}")
 
 
-def read_current(spark: SparkSession, path: str, keys: Sequence[str], keep_max: Sequence[str] = (),
-                 schema=None) -> DataFrame:
+def read_current(spark: SparkSession, path: str, keys: Sequence[str], keep_max: Sequence[str] = ()) -> DataFrame:
     """Current row per key of a change log."""
     log = spark.read.option("basePath", path).parquet(path)
     rest = [c for c in log.columns if c not in (*keys, BATCH)]
@@ -47,11 +46,14 @@ def read_current(spark: SparkSession, path: str, keys: Sequence[str], keep_max:
 
 
 def append_samples(rows: DataFrame, path: str, ts: str = "sample_ts") -> None:
-    """Append resource or probe samples, partitioned by day; a zero time means now."""
-    now = F.unix_micros(F.current_timestamp()) * 1000
-    stamped = rows.withColumn(ts, F.when(F.col(ts) == 0, now).otherwise(F.col(ts)))
-    day = F.to_date(F.timestamp_micros(F.call_function("div", F.col(ts), F.lit(1000).cast("bigint"))))
-    stamped.withColumn("day", day).write.mode("append").partitionBy("day").parquet(path)
+    """Append resource samples (nanosecond times, zero means now) or probe samples (timestamps) by day."""
+    if dict(rows.dtypes)[ts] == "bigint":
+        now = F.unix_micros(F.current_timestamp()) * 1000
+        rows = rows.withColumn(ts, F.when(F.col(ts) == 0, now).otherwise(F.col(ts)))
+        day = F.to_date(F.timestamp_micros(F.call_function("div", F.col(ts), F.lit(1000).cast("bigint"))))
+    else:
+        day = F.to_date(ts)
+    rows.withColumn("day", day).write.mode("append").partitionBy("day").parquet(path)
 
 
 def retain(rows: DataFrame, ts: str, days: int = 7) -> DataFrame:

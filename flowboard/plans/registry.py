@@ -560,6 +560,14 @@ def latest_deployment(spark, sf):
     return lifecycle.latest(views.deployments(spark, sf), "submission_id", ["created_at", "deployment_id"])
 
 
+@query
+def submission_list(spark, sf):
+    """Deployed submissions, last deployed first."""
+    dep = lifecycle.latest(views.deployments(spark, sf), "submission_id", ["created_at", "deployment_id"])
+    listed = views.submissions(spark, sf).join(dep.select("submission_id", "created_at"), "submission_id")
+    return lifecycle.newest_first(listed, "created_at", "submission_id")
+
+
 @query
 def active_endpoints(spark, sf):
     return lifecycle.active_endpoints(views.endpoints(spark, sf), "submission_id", _LATEST)

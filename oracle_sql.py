@@ -334,6 +334,26 @@ def oracle_sql() -> dict[str, str]:
     q["ingest_rates"] = (f"WITH {ENVELOPES} SELECT {stamp(f'(ns // {HOUR}) * {HOUR}')} AS window_start, "
                          "CASE WHEN reason IS NULL THEN type END AS type, count(*) AS events, count(*) / 3600.0::DOUBLE AS events_per_s "
                          "FROM routed GROUP BY 1, 2")
+    at = "'{\"bot_id\":' || user_id || ',\"order_id\":' || event_id"
+    lat = "CAST(round(value * 1000) AS BIGINT)"
+    q["ingest_bytes"] = f"""WITH src AS (SELECT *, {K} AS k, {NS} AS ns FROM events),
+      pay AS (SELECT *, CASE event_type
+        WHEN 'view' THEN {at} || ',"side":"' || CASE WHEN k % 2 = 0 THEN 'buy' ELSE 'sell' END || '","kind":"limit","price":' || value
+          || ',"quantity":' || (k + 1) || ',"send_ts":' || ns || ',"target_order_id":0}}'
+        WHEN 'purchase' THEN {at} || ',"maker_order_id":' || (event_id - 1) || ',"fill_price":' || value || ',"fill_quantity":' || (k + 1)
+          || ',"remaining_quantity":0,"trade_id":' || event_id || ',"recv_ts":' || ns || '}}'
+        WHEN 'signup' THEN '{{"connection_id":' || event_id || ',"bot_id":' || user_id || ',"remote_addr":"10.0.0.1","opened_ts":' || ns
+          || ',"handshake_us":' || {lat} || '}}'
+        ELSE {at} || ',"accepted":' || CASE WHEN event_type <> 'error' THEN 'true' ELSE 'false' END || ',"recv_ts":' || ns
+          || ',"ack_latency_us":' || {lat} || '}}' END AS payload FROM src),
+      env AS (SELECT *, '{{"run_id":"' || CASE WHEN k = 90 THEN '' ELSE {RUN} END || '","submission_id":"' || CASE WHEN k = 91 THEN ''
+          ELSE {SUB} END || '","seq":' || event_id || ',"emit_ts":' || ns || ',"source":"bot-fleet/shard-' || (user_id % 4) || '","type":"'
+          || CASE WHEN k = 92 THEN '' WHEN k = 94 THEN 'order_teleported' ELSE {TYPE} END || '"'
+          || CASE WHEN k = 93 THEN '' ELSE ',"payload":' || payload END || '}}' AS t FROM pay),
+      len AS (SELECT ns, CASE WHEN k = 49 THEN 8 WHEN k = 47 THEN 2 WHEN k = 50 THEN 2 * strlen(t) + 3 WHEN k % 2 = 1 THEN strlen(t) + 4
+          ELSE strlen(t) + 1 END AS n FROM env)
+      SELECT {stamp(f'(ns // {HOUR}) * {HOUR}')} AS window_start, CAST(sum(n) AS BIGINT) AS bytes, round(sum(n) / 3600.0::DOUBLE, 6) AS bytes_per_s
+      FROM len GROUP BY 1"""
     q["key_split"] = (f"WITH {ENVELOPES} SELECT key, split_part(key, ':', 1) AS run_part, "
                       "CASE WHEN contains(key, ':') THEN split_part(key, ':', 2) ELSE '' END AS submission_part, count(*) AS events "
                       "FROM routed GROUP BY 1, 2, 3")
@@ -514,6 +534,7 @@ def oracle_sql() -> dict[str, str]:
     q["lifecycle_audit"] = f"""WITH RECURSIVE {LIFE} SELECT r.submission_id, e.pos, e.occurred_at, e.actor, e.event AS action,
         r.prev AS prev_state, r.st AS new_state FROM run r JOIN ev e USING (submission_id, i) WHERE r.ok"""
     q["lifecycle_wire"] = f"WITH RECURSIVE {LIFE} SELECT event AS type, count(*) AS events, max(date_trunc('millisecond', occurred_at)) AS last_at FROM ev WHERE actor <> 'svc-error' GROUP BY event"
+    q["submission_list"] = f"WITH {SUBS}, {DEPLOY} SELECT submission_id, sb.status, created_at FROM sb JOIN dp USING (submission_id)"
     q["latest_deployment"] = f"WITH {DEPLOY} SELECT * FROM dp"
     q["active_endpoints"] = f"WITH {ENDPOINT} SELECT * FROM ep WHERE status = 'ACTIVE'"
     q["submission_view"] = (f"WITH {SUBS}, {ENDPOINT} SELECT sb.submission_id, sb.status, CASE WHEN ep.status = 'ACTIVE' THEN internal_url END "

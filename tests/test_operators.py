@@ -376,3 +376,23 @@ def test_board_mirror_and_summary_files(spark, tmp_path):
     tables.write_summary(b.select("run_id"), str(tmp_path / "sum"))
     assert spark.read.option("header", True).csv(str(tmp_path / "sum" / "csv")).count() == 2
     assert spark.read.json(str(tmp_path / "sum" / "json")).first().schema_version == "1.0"
+
+
+def test_append_samples(spark, tmp_path):
+    path = str(tmp_path / "s")
+    tables.append_samples(spark.createDataFrame([("a", 0), ("b", 1_704_067_200 * SECOND)], "k string, sample_ts bigint"), path)
+    got = {r.k: r for r in spark.read.parquet(path).collect()}
+    assert got["a"].sample_ts > 1_704_067_200 * SECOND and str(got["b"].day) == "2024-01-01"
+    tables.append_samples(spark.sql("select timestamp'2024-01-03 00:00:00' time, true healthy"), str(tmp_path / "p"), "time")
+    assert str(spark.read.parquet(str(tmp_path / "p")).first().day) == "2024-01-03"
+
+
+def test_lifecycle_wire_rules(spark):
+    rows = [("1", "a", "s", "p", 1), ("2", "a", "s", "p", 2), ("", "a", "s", "p", 1), ("4", "a", "s", "p", 0), ("5", "", "s", "p", 1)]
+    df = spark.createDataFrame(rows, "event_id string, type string, submission_id string, producer string, schema_version int")
+    df = df.withColumn("occurred_at", F.lit("2024-01-01").cast("timestamp")).withColumn("data", F.lit('{"reason":"x"}'))
+    wire = envelopes.lifecycle_encode(df)
+    assert wire.count() == 2
+    assert [r.event_id for r in envelopes.lifecycle_decode(wire).collect()] == ["1"]
+    typed = envelopes.lifecycle_payload(df.filter("event_id = '1'").withColumn("type", F.lit("teardown.requested")), "teardown.requested")
+    assert typed.first().reason == "x"
