@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowboard.operators import histograms
@@ -61,14 +61,7 @@ def order_mix(orders: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def population_share(bots: DataFrame, persona: Column) -> DataFrame:
-    """Share of each persona. The total is one row, joined as such."""
+    """Share of each persona in the population."""
     counts = bots.groupBy(persona.alias("persona")).agg(F.count(F.lit(1)).alias("bots"))
-    total = F.sum("bots").over(_whole())
-    return counts.select("persona", "bots", (F.col("bots") / total).alias("share"))
-
-
-def _whole():
-    """Window over the persona counts: one row per persona, not per bot."""
-    from pyspark.sql import Window
-
-    return Window.partitionBy(F.lit(1))
+    whole = Window.partitionBy(F.lit(1))  # one row per persona, not per bot
+    return counts.select("persona", "bots", (F.col("bots") / F.sum("bots").over(whole)).alias("share"))

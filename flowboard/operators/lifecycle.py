@@ -62,7 +62,8 @@ def replay(events: DataFrame, key: str = "submission_id", pos: str = "pos", chun
     A run of events maps each entry state to an exit state, and such maps
     compose. Chunks of the stream are reduced to their map, the maps of a key
     are scanned (one row per chunk), and each chunk is then folded from its
-    known entry state. No task holds more than one chunk or one row per chunk.
+    known entry state. Chunks are grouped by `chunk_rows` again, so a list holds
+    at most `chunk_rows` entries up to `chunk_rows`^3 positions.
     """
     states = list(dict.fromkeys(s for s, _, _ in TRANSITIONS))
     ev = events.withColumn("__c", epoch_of(F.col(pos), chunk_rows))
@@ -77,15 +78,17 @@ def replay(events: DataFrame, key: str = "submission_id", pos: str = "pos", chun
         "__e", F.array(*[F.lit(s) for s in states]),
         lambda acc, e: F.transform(acc, lambda s: step(s, e["event"])))
     maps = chunks.select(key, "__c", F.map_from_arrays(F.array(*[F.lit(s) for s in states]), exits).alias("__m"))
-    chain = maps.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(
-        "__c", F.map_entries("__m").alias("m")))).alias("__all"))
-    entry = chain.select(key, F.inline(F.aggregate(
-        "__all",
-        F.struct(F.lit("").alias("s"), F.array().cast("array<struct<c:bigint,s:string>>").alias("out")),
-        lambda acc, x: F.struct(
-            F.coalesce(F.try_element_at(F.map_from_entries(x["m"]), acc["s"]), acc["s"]).alias("s"),
-            F.array_append(acc["out"], F.struct(x["__c"].alias("c"), acc["s"].alias("s"))).alias("out")),
-        lambda acc: acc["out"])).alias("__ec", "__entry"))
+    # Same step once more over groups of chunks, so that a key's last list stays short.
+    listed = lambda c, m: F.array_sort(F.collect_list(F.struct(F.col(c).alias("c"), F.map_entries(m).alias("m"))))
+    groups = maps.withColumn("__g", epoch_of(F.col("__c"), chunk_rows)).groupBy(key, "__g").agg(
+        listed("__c", "__m").alias("__list"))
+    through = F.aggregate(
+        "__list", F.array(*[F.lit(s) for s in states]), lambda acc, x: F.transform(acc, lambda s: _through(x, s)))
+    chain = groups.select(key, "__g", F.map_from_arrays(F.array(*[F.lit(s) for s in states]), through).alias("__m"))
+    chain = chain.groupBy(key).agg(listed("__g", "__m").alias("__list"))
+    starts = chain.select(key, F.inline(_entries("__list", F.lit(""))).alias("__g", "__start"))
+    entry = groups.join(starts, [key, "__g"]).select(
+        key, F.inline(_entries("__list", F.col("__start"))).alias("__ec", "__entry"))
     joined = chunks.join(entry.withColumnRenamed("__ec", "__c"), [key, "__c"])
     out_type = "array<struct<i:int,prev:string,next:string>>"
     folded = F.aggregate(
@@ -100,6 +103,21 @@ def replay(events: DataFrame, key: str = "submission_id", pos: str = "pos", chun
         F.col("n").isNotNull().alias("accepted"))
 
 
+def _through(chunk: Column, state: Column) -> Column:
+    """State after a chunk, given the state before it."""
+    return F.coalesce(F.try_element_at(F.map_from_entries(chunk["m"]), state), state)
+
+
+def _entries(chunks: str, start: Column) -> Column:
+    """Entry state of each listed chunk."""
+    return F.aggregate(
+        chunks, F.struct(start.alias("s"), F.array().cast("array<struct<c:bigint,s:string>>").alias("out")),
+        lambda acc, x: F.struct(
+            _through(x, acc["s"]).alias("s"),
+            F.array_append(acc["out"], F.struct(x["c"].alias("c"), acc["s"].alias("s"))).alias("out")),
+        lambda acc: acc["out"])
+
+
 def _advance(acc: Column, i: Column) -> Column:
     event = F.col("__e")[i]["event"]
     nxt = next_state(acc["s"], event)
