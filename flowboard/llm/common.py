@@ -2,18 +2,30 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowboard.session import cut, new_path
 
-__all__ = ["cut", "new_path", "drop", "hash_pair", "documents", "order_bounds", "chunk_of", "offsets"]
+__all__ = ["cut", "new_path", "on_workers", "drop", "hash_pair", "documents", "order_bounds", "chunk_of", "offsets"]
 
 #: Rows of one ordered chunk; a chunk is sorted in one task.
 CHUNK_ROWS = 4096
 _FAN = 256
 
 
+def on_workers(spark: SparkSession) -> SparkSession:
+    """Let Python workers on machines with the same folders import this package; elsewhere ship it with `--py-files`."""
+    import flowboard
+
+    root, env = os.path.dirname(os.path.dirname(os.path.abspath(flowboard.__file__))), spark.sparkContext.environment
+    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(filter(None, [root, env.get("PYTHONPATH")]))
+    return spark
+
+
 def drop(spark: SparkSession, df: DataFrame) -> None:
     """Delete a table written by `cut` once nothing reads it any more."""
     for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()[:1]}:

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowboard.llm import chat, lines, shards, sketch, urls
-from flowboard.llm.common import cut
+from flowboard.llm import chat, huffman, lines, minhash, packing, shards, sketch, urls
+from flowboard.llm.common import cut, new_path, on_workers
 from flowboard.llm.sql import SQL
 from flowboard.session import prepare
 
@@ -21,8 +21,17 @@ SHARDS = 24
 CONTROL_CHAT = (-7, ("user", "assistant"), "</s>[INST] ok [/INST]")
 
 
+TOKENIZER = "byte_bpe_50k.json"
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(TOKENIZER)
+
+
 def query(fn):
-    QUERIES[fn.__name__] = lambda spark, sf_dir: fn(prepare(spark), sf_dir)
+    QUERIES[fn.__name__] = lambda spark, sf_dir: fn(on_workers(prepare(spark)), sf_dir)
     return fn
 
 
@@ -51,9 +60,26 @@ def op6_sharding(spark, sf):
     return shards.assign(table(spark, sf, "documents"), [1.0] * SHARDS, [1.0] * (SHARDS + 1))
 
 
+@query
+def op7_near_dedup(spark, sf):
+    return minhash.near_classes(table(spark, sf, "documents")).select("doc_id", "class_id", "class_size", "is_first")
+
+
+@query
+def op8_token_files(spark, sf):
+    path = new_path(spark, "token-ids")
+    huffman.write_ids(table(spark, sf, "documents"), path, tokenizer_path(), end_id=2)
+    return huffman.read_ids(spark, path)
+
+
 @query
 def op9_chat_formatting(spark, sf):
     conv_id, roles, text = CONTROL_CHAT
     planted = spark.createDataFrame([(conv_id, i, r, text) for i, r in enumerate(roles)], "conv_id bigint, turn bigint, role string, text string")
     rows = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text").unionByName(planted)
     return chat.digest_chats(cut(chat.format_chats(rows)))
+
+
+@query
+def op10_packing(spark, sf):
+    return packing.pack(table(spark, sf, "documents"), tokenizer_path())

@@ -52,7 +52,7 @@ def gram_table(labelled: DataFrame, order: int) -> DataFrame:
     for side in sides:
         table = table.withColumn(f"p_{side}", F.lit(1.0 / ALPHABET))
     for k in range(order + 1):
-        table = table.withColumn("tail", F.substring("gram", order - k + 1, k + 1)).withColumn("context", F.substring("gram", order - k + 1, k) if k else F.lit(""))
+        table = table.withColumn("tail", F.substring("gram", order - k + 1, k + 1)).withColumn("context", F.substring("gram", order - k + 1, k))
         tails = table.groupBy("tail", "context").agg(*[F.sum(f"n_{s}").alias(f"c_{s}") for s in sides])
         contexts = tails.groupBy("context").agg(
             *[F.sum(f"c_{s}").alias(f"t_{s}") for s in sides], *[F.sum((F.col(f"c_{s}") > 0).cast("bigint")).alias(f"u_{s}") for s in sides])
