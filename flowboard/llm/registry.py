@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowboard.llm import chat, huffman, lines, minhash, packing, shards, sketch, urls
+from flowboard.llm import chat, huffman, language, leaks, lines, minhash, packing, shards, sketch, urls
 from flowboard.llm.common import cut, new_path, on_workers
 from flowboard.llm.sql import SQL
 from flowboard.session import prepare
@@ -39,6 +39,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query
+def op1_decontamination(spark, sf):
+    return leaks.find_leaks(table(spark, sf, "documents"), table(spark, sf, "benchmark")).select(
+        "doc_id", "item_id", "similarity", "first_word", "n_words", "bits_apart")
+
+
 @query
 def op2_line_dedup(spark, sf):
     return lines.dedup_lines(table(spark, sf, "documents")).select(
@@ -55,6 +61,14 @@ def op4_document_fingerprints(spark, sf):
     return sketch.fingerprints(table(spark, sf, "documents"))
 
 
+@query
+def op5_language_id(spark, sf):
+    docs = table(spark, sf, "documents")
+    model = language.train(language.learnable(docs))
+    return language.predict(docs.select("doc_id", "text"), model).select(
+        "row.doc_id", (language.fold(F.col("row.doc_id")) == 1).alias("held_out"), "lang_pred", "score")
+
+
 @query
 def op6_sharding(spark, sf):
     return shards.assign(table(spark, sf, "documents"), [1.0] * SHARDS, [1.0] * (SHARDS + 1))
