@@ -13,7 +13,7 @@ ORDER = 4
 ALPHABET = 256
 START, END = "\u0002", "\u0003"
 MICRO = 1_000_000
-#: Threshold candidates lie this many micro-nats apart.
+#: Width of the bins, in micro-nats, between which thresholds are tried.
 STEP = 10_000
 
 
@@ -67,22 +67,24 @@ def gram_table(labelled: DataFrame, order: int) -> DataFrame:
 def threshold(scored: DataFrame) -> int:
     """Micro-nats from which to allow: least mean of both error rates on (micro_mean, action).
 
-    Candidates lie STEP apart, which bounds the table by the range of scores. Of equally good ones
-    the closest to 0 counts, then the lower. 0 if a class is missing.
+    Scores are counted in bins of STEP, which bounds the table by their range; candidates lie
+    half-way between neighbouring bins that hold urls. Of equally good ones the closest to 0 counts,
+    then the lower. 0 if a class is missing.
     """
     bins = scored.groupBy(F.floor(F.col("micro_mean") / STEP).alias("bin")).agg(
         F.sum((F.col("action") == "allow").cast("bigint")).alias("good"), F.sum((F.col("action") == "block").cast("bigint")).alias("bad"))
     from pyspark.sql import Window
 
-    below = Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+    by_bin = Window.orderBy("bin")
+    below = by_bin.rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy()
     errors = bins.select(
-        "bin", F.sum("good").over(whole).alias("goods"), F.sum("bad").over(whole).alias("bads"),
+        ((F.coalesce(F.lag("bin").over(by_bin), F.col("bin") - 1) + 1 + F.col("bin")) * (STEP // 2)).alias("cut"), F.sum("good").over(whole).alias("goods"), F.sum("bad").over(whole).alias("bads"),
         F.coalesce(F.sum("good").over(below), F.lit(0)).alias("lost"),
         F.coalesce(F.sum("bad").over(below), F.lit(0)).alias("stopped")).where("goods > 0 and bads > 0")
     # lost / goods + (bads - stopped) / bads over the common denominator, so ties are exact.
-    best = errors.orderBy(F.expr("lost * bads + (bads - stopped) * goods"), F.abs("bin"), "bin").first()
-    return int(best["bin"]) * STEP if best else 0
+    best = errors.orderBy(F.expr("lost * bads + (bads - stopped) * goods"), F.abs("cut"), "cut").first()
+    return int(best["cut"]) if best else 0
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str]], order: int = ORDER) -> DataFrame:
