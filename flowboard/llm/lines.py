@@ -85,7 +85,8 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     spans = repeated_runs(docs, min_words).groupBy(*_KEY).agg(F.sort_array(F.collect_list(F.struct("s", "e"))).alias("runs"))
     t1, t2 = hash_pair(F.coalesce(F.col("text"), F.lit("")))
     rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("bigint").alias("k"), t1.alias("t1"), t2.alias("t2"))
-    met = rows.join(spans.withColumnRenamed("doc_id", "k0"), F.col("k").eqNullSafe(F.col("k0")) & (rows["t1"] == spans["t1"]) & (rows["t2"] == spans["t2"]), "left")
+    # Always sort-merge: text moves in proportion to the input, whether or not few documents have runs.
+    met = rows.hint("merge").join(spans.withColumnRenamed("doc_id", "k0"), F.col("k").eqNullSafe(F.col("k0")) & (rows["t1"] == spans["t1"]) & (rows["t2"] == spans["t2"]), "left")
     lines = F.split("row.text", "\n")
     worded = F.transform(lines, lambda x: x.rlike(r"[^ \t\r\f]"))
     place = F.transform(lines, lambda x, i: F.struct(x.alias("x"), i.alias("i")))
