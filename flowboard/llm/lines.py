@@ -75,7 +75,8 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """`docs` with later repeated runs cut from `text`, and how much: row, text, lines_removed, chars_removed.
 
-    `row` holds the input row in whole as a struct; `text` is what remains of it, null where it was null. Documents that lose
+    `row` holds the input row in whole as a struct; `text` is what remains of it, null where it was null. Lines without
+    words stay where they are. Documents that lose
     nothing keep their exact text; one that loses all lines gets an empty one. The first occurrence of any line always
     stays. Rows with the same doc_id and text are one document and get the same result: a repeated row is no repetition. An empty table
     gives an empty result. A window is at most `min_words` lines, so long texts cost in proportion
@@ -89,11 +90,11 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     met = rows.hint("merge").join(spans.withColumnRenamed("doc_id", "k0"), F.col("k").eqNullSafe(F.col("k0")) & (rows["t1"] == spans["t1"]) & (rows["t2"] == spans["t2"]), "left")
     lines = F.split("row.text", "\n")
     worded = F.transform(lines, lambda x: x.rlike(r"[^ \t\r\f]"))
-    place = F.transform(lines, lambda x, i: F.struct(x.alias("x"), i.alias("i")))
+    place = F.transform(lines, lambda x, i: F.struct(x.alias("x"), i.alias("i"), x.rlike(r"[^ \t\r\f]").alias("worded")))
     at = F.filter(F.transform(worded, lambda w, i: F.when(w, i)), lambda i: i.isNotNull())
     gone = F.flatten(F.transform("runs", lambda r: F.slice(at, r["s"], r["e"] - r["s"] + 1)))
     spans_of = F.transform("runs", lambda r: F.struct(F.element_at(at, r["s"]).alias("from"), F.element_at(at, r["e"]).alias("to")))
-    kept = F.filter(place, lambda p: ~F.exists("cuts", lambda c: (c["from"] <= p["i"]) & (p["i"] <= c["to"])))
+    kept = F.filter(place, lambda p: ~p["worded"] | ~F.exists("cuts", lambda c: (c["from"] <= p["i"]) & (p["i"] <= c["to"])))
     out = met.select("row", F.when(F.col("runs").isNotNull(), spans_of).alias("cuts"), F.when(F.col("runs").isNotNull(), F.size(gone)).otherwise(0).alias("lines_removed"))
     text = F.when(F.col("cuts").isNull(), F.col("row.text")).otherwise(F.array_join(kept["x"], "\n"))
     return out.select("row", text.alias("text"), "lines_removed").withColumn(
