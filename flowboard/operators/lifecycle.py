@@ -208,8 +208,8 @@ def newest_first(rows: DataFrame, time: str, tie: str) -> DataFrame:
 
 
 def endpoint_state(actions: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
-    """Latest endpoint per submission with ACTIVE or INACTIVE from its last action."""
-    now = latest(actions, key, order)
+    """Latest endpoint per submission with ACTIVE or INACTIVE from its last registration or deregistration."""
+    now = latest(actions.filter(F.col("action").isin("register", "deregister")), key, order)
     return now.withColumn("status", F.when(F.col("action") == "register", "ACTIVE").otherwise("INACTIVE")).drop("action")
 
 

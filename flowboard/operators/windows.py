@@ -22,8 +22,8 @@ WINDOW_COLUMNS = [
 ]
 
 
-def ack_outcomes(acks: DataFrame) -> DataFrame:
-    """One outcome per ack at its receive time. A rejected ack is an error, not a transaction."""
+def ack_outcomes(acks: DataFrame, *keep: str) -> DataFrame:
+    """One outcome per ack at its receive time. A rejected ack is an error, not a transaction. `keep` names further columns."""
     rejected = ~F.col("accepted")
     return acks.select(
         *KEYS, F.col("recv_ts").alias("ts_ns"), hdr.bucket_of(F.col("ack_latency_us")).alias("bucket"),
@@ -31,7 +31,7 @@ def ack_outcomes(acks: DataFrame) -> DataFrame:
         hdr.clamp(F.col("ack_latency_us")).alias("max_us"),
         (~rejected).cast("bigint").alias("transactions"), rejected.cast("bigint").alias("errors"),
         (F.col("is_timeout").cast("bigint") if "is_timeout" in acks.columns
-         else F.lit(0).cast("bigint")).alias("timeouts"),
+         else F.lit(0).cast("bigint")).alias("timeouts"), *keep,
     )
 
 
@@ -121,18 +121,27 @@ def latest_span(cells: DataFrame, kind: str, slots: int, slot_ns: int = SECOND)
 
 
 def split_late(outcomes: DataFrame, arrival: str, retention_slots: int, slot_ns: int = SECOND,
-               chunk_rows: int = 1 << 20) -> DataFrame:
+               chunk_rows: int = 1 << 20, heads: DataFrame | None = None) -> DataFrame:
     """Mark rows behind the newest slot their submission had reached on arrival.
 
-    `arrival` is the stream position; `head` is the newest slot up to that row.
+    `arrival` is the stream position; `head` is the newest slot up to that row. `heads` gives the
+    slot each submission had reached before these rows.
     """
     epoch = epoch_of(F.col("ts_ns"), slot_ns)
     chunk = epoch_of(F.col(arrival), chunk_rows)
     seen = prefix_scan(outcomes.withColumn("epoch", epoch), KEYS, [F.col(arrival)], chunk,
                        {"head": ("max", F.col("epoch"))})
+    if heads is not None:
+        earlier = heads.select(*KEYS, F.col("head").alias("__was"))
+        seen = seen.join(earlier, KEYS, "left").withColumn("head", F.greatest("head", "__was")).drop("__was")
     return seen.withColumn("is_late", F.col("epoch") <= F.col("head") - retention_slots)
 
 
+def drop_late(outcomes: DataFrame, arrival: str, retention_slots: int, slot_ns: int = SECOND) -> DataFrame:
+    """Outcomes without those behind the horizon: what windows are built from."""
+    return split_late(outcomes, arrival, retention_slots, slot_ns).filter(~F.col("is_late")).drop("epoch", "head", "is_late")
+
+
 def rolling_stats(windows: DataFrame) -> DataFrame:
     """Whole-run view of the tumbling sequence: totals, last window, spread of TPS."""
     mean = F.avg("tps")

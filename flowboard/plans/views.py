@@ -31,12 +31,13 @@ def _sub():
     return F.concat(F.lit("sub-"), F.lpad((F.col("user_id") % 8).cast("string"), 3, "0"))
 
 
-def from_events(events: DataFrame) -> DataFrame:
-    """Acks out of the events table; works on a stream too."""
+def from_events(events: DataFrame, lagged: bool = False) -> DataFrame:
+    """Acks out of the events table; works on a stream too. Lagged ones were received `k` hours before they arrive."""
     error = F.col("event_type") == "error"
+    lag = _k().cast("bigint") * HOUR if lagged else F.lit(0)
     return events.select(
         _run().alias("run_id"), _sub().alias("submission_id"), F.col("event_id").alias("seq"),
-        F.col("user_id").alias("bot_id"), nanos(F.col("ts")).alias("recv_ts"),
+        F.col("user_id").alias("bot_id"), (nanos(F.col("ts")) - lag).alias("recv_ts"),
         F.round(F.col("value") * 1000).cast("bigint").alias("ack_latency_us"),
         (~error).alias("accepted"), (error & (_k() >= 90)).alias("is_timeout"),
     )
@@ -47,8 +48,8 @@ def acks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sequence numbers per (run, source). Error events are lost on the way, which leaves gaps."""
-    return table(spark, sf_dir, "events").filter(F.col("event_type") != "error").select(
+    """Sequence numbers per (run, source), one per four events, so each source has gaps."""
+    return table(spark, sf_dir, "events").select(
         _run().alias("run_id"),
         F.concat(F.lit("bot-fleet/shard-"), (F.col("user_id") % 4).cast("string")).alias("source"),
         F.expr("event_id div 4").alias("seq"),
@@ -290,12 +291,13 @@ def deployments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def endpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Endpoint registrations and deregistrations: urgent orders register, low ones deregister."""
-    o = table(spark, sf_dir, "orders").filter(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH", "5-LOW"))
+    """Endpoint actions: urgent orders register, low ones deregister, the others report only."""
+    o = table(spark, sf_dir, "orders")
     return o.select(
         F.col("o_custkey").alias("submission_id"), F.col("o_orderkey").alias("endpoint_id"),
         F.col("o_orderdate").alias("created_at"),
-        F.when(F.col("o_orderpriority") == "5-LOW", "deregister").otherwise("register").alias("action"),
+        F.when(F.col("o_orderpriority") == "5-LOW", "deregister")
+        .when(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH"), "register").otherwise("report").alias("action"),
         F.concat(F.lit("http://svc-"), F.col("o_orderkey").cast("string")).alias("internal_url"),
     )
 
@@ -338,9 +340,9 @@ def bot_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Display names of submissions, one row per run."""
+    """Display names of submissions, one row per run (ten days each, so a month has four)."""
     return table(spark, sf_dir, "nation").select(
-        F.explode(F.array(F.lit("run-0"), F.lit("run-1"), F.lit("run-2"))).alias("run_id"),
+        F.explode(F.array(*[F.lit(f"run-{i}") for i in range(4)])).alias("run_id"),
         F.concat(F.lit("sub-"), F.lpad(F.col("n_nationkey").cast("string"), 3, "0")).alias("submission_id"),
         F.when(F.col("n_regionkey") % 2 == 0, F.col("n_name")).otherwise("").alias("display_name"),
     )

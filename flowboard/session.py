@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -17,10 +18,16 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a temporary one only where none is set (tests)."""
+    """The shared folder the cluster names in spark.checkpoint.dir.
+
+    Where none is set, a temporary folder serves a session whose tasks run in the driver's own
+    process (tests); on a cluster no machine-local folder would do, so that is an error.
+    """
     sc = spark.sparkContext
     path = sc.getConf().get(CHECKPOINT_CONF) or sc.getCheckpointDir()
     if path is None:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError(f"set {CHECKPOINT_CONF} to a folder that driver and executors share")
         path = tempfile.mkdtemp(prefix="flowboard-")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(path)

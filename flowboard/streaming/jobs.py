@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from flowboard.functions.scoring import ScoreConfig
-from flowboard.functions.timeline import SECOND, epoch_of, instant
-from flowboard.operators import board, tables, windows
+from flowboard.functions.timeline import SECOND, instant
+from flowboard.operators import board, orderbook, rules, tables, windows
 from flowboard.sources import envelopes
 
 KEYS = windows.KEYS
@@ -53,39 +53,78 @@ def ingest(bodies: DataFrame, out: str, checkpoint: str, **run) -> StreamingQuer
     return start(bodies, each, checkpoint, **run)
 
 
-def dedupe(events: DataFrame, keys: list[str], ts: str, delay: str) -> DataFrame:
-    """First delivery of each event; ids are forgotten once the watermark has passed them."""
-    return events.withWatermark(ts, delay).dropDuplicatesWithinWatermark(keys)
+def dedupe(events: DataFrame, keys: list[str], out: str, checkpoint: str, **run) -> StreamingQuery:
+    """First delivery of each event, however late it comes; ids are never forgotten.
 
+    Each micro-batch keeps the events whose ids are not in the table yet. Only the id columns of
+    the table are read.
+    """
 
-def window_cells(outcomes: DataFrame, width_ns: int, slide_ns: int, late_ns: int) -> DataFrame:
-    """Cells per event-time window. A window is emitted once, when the watermark passes its end."""
-    span = lambda ns: f"{ns // 1000} microseconds"
-    ts = F.timestamp_micros(F.call_function("div", F.col("ts_ns"), F.lit(1000).cast("bigint")))
-    timed = outcomes.withColumn("ts", ts).withWatermark("ts", span(late_ns))
-    return timed.groupBy(F.window("ts", span(width_ns), span(slide_ns)), *KEYS, "bucket").agg(
-        F.sum("n").alias("n"), F.max("max_us").alias("max_us"), F.sum("transactions").alias("transactions"),
-        F.sum("errors").alias("errors"), F.sum("timeouts").alias("timeouts"))
+    def each(batch: DataFrame, batch_id: int) -> None:
+        fresh, seen = batch.dropDuplicates(keys), _before(batch.sparkSession, out, batch_id)
+        if seen is not None:
+            fresh = fresh.join(seen.select(*keys), keys, "left_anti")
+        tables.write_changes(fresh, out, batch_id)
 
+    return start(events, each, checkpoint, **run)
 
-def finish_windows(cells: DataFrame, kind: str, slots: int, slot_ns: int) -> DataFrame:
-    """Window rows of one micro-batch. All cells of a window close on one watermark, so the batch has them all."""
-    lo = epoch_of(F.unix_micros(F.col("window.start")) * 1000, slot_ns)
-    return windows.window_rows(cells.withColumn("lo", lo).drop("window"), kind, slots, slot_ns)
 
+def live_windows(outcomes: DataFrame, kind: str, out: str, checkpoint: str, slots: int = 5, slot_ns: int = SECOND,
+                 retention_slots: int = 60, arrival: str = "seq", **run) -> StreamingQuery:
+    """Tumbling or sliding windows, closed once their submission's newest slot lies beyond them.
 
-def tumbling(outcomes: DataFrame, out: str, checkpoint: str, slots: int = 5, slot_ns: int = SECOND,
-             retention_slots: int = 60, **run) -> StreamingQuery:
-    cells = window_cells(outcomes, slots * slot_ns, slots * slot_ns, retention_slots * slot_ns)
-    return start(cells, lambda b, i: tables.write_changes(
-        finish_windows(b, "tumbling", slots, slot_ns), out, i), checkpoint, **run)
+    Rows behind the submission's horizon are dropped on arrival; rows within it also count for
+    windows that have closed, which are then written again (`closed_windows` reads the latest).
+    So only windows that hold the newest slot stay out. Raw rows become slot cells before anything
+    else; windows regroup cells. Tables below `out`: heads, cells, windows.
+    """
 
+    def each(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        before = _before(spark, f"{out}/heads", batch_id)
+        was = None if before is None else before.groupBy(*KEYS).agg(F.max("head").alias("head"))
+        marked = windows.split_late(batch, arrival, retention_slots, slot_ns, heads=was).persist()
+        tables.write_changes(marked.groupBy(*KEYS).agg(F.max("head").alias("head")), f"{out}/heads", batch_id)
+        tables.write_changes(windows.regroup(marked.filter(~F.col("is_late")), KEYS + ["epoch"]), f"{out}/cells", batch_id)
+        marked.unpersist()
+        now = spark.read.parquet(f"{out}/heads/{tables.BATCH}={batch_id}")
+        now = now.join(was.withColumnRenamed("head", "was"), KEYS, "left") if was is not None else now.withColumn("was", F.lit(None).cast("bigint"))
+        first = F.floor(F.col("epoch") / slots) * slots
+        lo = F.array(first) if kind == "tumbling" else F.sequence(F.col("epoch") - (slots - 1), F.col("epoch"))
+        # Cells of windows that were not closed before, or that this batch adds to.
+        cells = _until(spark, f"{out}/cells", batch_id).join(now, KEYS).filter(
+            F.col("was").isNull() | (F.col("epoch") > F.col("was") - retention_slots - slots))
+        cells = cells.withColumn("lo", F.explode(lo)).filter(F.col("lo") + slots <= F.col("head"))
+        due = (F.col(tables.BATCH) == batch_id) | F.col("was").isNull() | (F.col("lo") + slots > F.col("was"))
+        due = cells.filter(due).select(*KEYS, "lo").distinct()
+        rows = windows.window_rows(cells.join(due, KEYS + ["lo"], "left_semi"), kind, slots, slot_ns)
+        tables.write_changes(rows, f"{out}/windows", batch_id)
+
+    return start(outcomes, each, checkpoint, **run)
+
+
+def closed_windows(spark: SparkSession, out: str) -> DataFrame:
+    return tables.read_current(spark, f"{out}/windows", [*KEYS, "window_start", "window_kind"]).select(*windows.WINDOW_COLUMNS)
+
+
+def verdicts(order_events: DataFrame, out: str, checkpoint: str, tick: float = 0.01, **run) -> StreamingQuery:
+    """Verdicts of the submissions each micro-batch touches, by the set form of the batch rebuild.
+
+    The order log is a table; a batch appends to it and rebuilds the books of its submissions from
+    the log, spread over tasks by order, so a hot submission is no single task. Cost per batch
+    follows the log of the submissions it touches. Tables below `out`: orders, verdicts.
+    """
 
-def sliding(outcomes: DataFrame, out: str, checkpoint: str, slots: int = 5, slot_ns: int = SECOND,
-            retention_slots: int = 60, **run) -> StreamingQuery:
-    cells = window_cells(outcomes, slots * slot_ns, slot_ns, retention_slots * slot_ns)
-    return start(cells, lambda b, i: tables.write_changes(
-        finish_windows(b, "sliding", slots, slot_ns), out, i), checkpoint, **run)
+    def each(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        tables.write_changes(batch, f"{out}/orders", batch_id)
+        log = _until(spark, f"{out}/orders", batch_id).drop(tables.BATCH)
+        touched = spark.read.parquet(f"{out}/orders/{tables.BATCH}={batch_id}").select(*KEYS).distinct()
+        book = orderbook.rebuild(log.join(touched, KEYS, "left_semi"), tick)
+        verdict = rules.verdict_json(rules.verdicts(book, rules.findings(book)))
+        tables.write_changes(verdict, f"{out}/verdicts", batch_id)
+
+    return start(order_events, each, checkpoint, **run)
 
 
 def sandbox(samples: DataFrame, out: str, checkpoint: str, **run) -> StreamingQuery:

@@ -238,7 +238,7 @@ def scores(with_verdicts=True):
 SANDBOX = f"""sbx AS (SELECT {RUN} AS run_id, {SUB} AS submission_id, {NS} AS ns, event_id AS seq,
   CASE WHEN {K} >= 95 THEN 'UNHEALTHY' WHEN {K} >= 85 THEN 'DEGRADED' WHEN {K} < 5 THEN '' ELSE 'READY' END AS health FROM events)"""
 NAMES = """names AS (SELECT r AS run_id, 'sub-' || lpad(CAST(n_nationkey AS VARCHAR), 3, '0') AS submission_id,
-  CASE WHEN n_regionkey % 2 = 0 THEN n_name ELSE '' END AS nm FROM nation, unnest(['run-0', 'run-1', 'run-2']) AS t(r))"""
+  CASE WHEN n_regionkey % 2 = 0 THEN n_name ELSE '' END AS nm FROM nation, unnest(['run-0', 'run-1', 'run-2', 'run-3']) AS t(r))"""
 
 
 def board(with_verdicts=True):
@@ -378,7 +378,7 @@ def oracle_sql() -> dict[str, str]:
       'pod-' || CAST(user_id AS VARCHAR) AS pod_name, user_id * 1000 AS memory_bytes, {K} >= 95 AS oom_killed FROM events"""
     q["dedupe_events"] = f"WITH {ENVELOPES} SELECT DISTINCT run_id, submission_id, seq, type, source FROM routed"
     q["seq_gaps"] = f"""WITH s AS (SELECT {RUN} AS run_id, 'bot-fleet/shard-' || CAST(user_id % 4 AS VARCHAR) AS source,
-        event_id // 4 AS seq FROM events WHERE event_type <> 'error'),
+        event_id // 4 AS seq FROM events),
       l AS (SELECT *, lag(seq) OVER (PARTITION BY run_id, source ORDER BY seq) AS after_seq FROM s)
       SELECT run_id, source, after_seq, seq AS next_seq, seq - after_seq - 1 AS missing FROM l WHERE seq - after_seq > 1"""
     # windows
@@ -507,11 +507,20 @@ def oracle_sql() -> dict[str, str]:
       SELECT {KEYS}, max(updated_at) AS updated_at, arg_max(total_transactions, (updated_at, g)) AS total_transactions,
         round(max(peak_tps), 9) AS peak_tps, round(arg_max(current_tps, (updated_at, g)), 9) AS current_tps FROM u GROUP BY {KEYS}"""
     # streams
-    closed = "WHERE window_end <= (SELECT max(ts) - INTERVAL 60 HOUR FROM events)"
-    for kind in ("tumbling", "sliding"):
-        q[f"stream_{kind}_windows"] = f"{q[f'{kind}_windows']} {closed}"
+    lagged = SAMPLES.replace(f"{NS} AS recv_ts", f"{NS} - CAST({K} AS BIGINT) * {HOUR} AS recv_ts").replace(
+        f"recv_ts // {HOUR} AS epoch", "epoch").replace("FROM acks)", "FROM seen WHERE epoch > head - 60)").replace(
+        "), cells AS", f"), seen AS (SELECT *, recv_ts // {HOUR} AS epoch, max(recv_ts // {HOUR}) OVER (PARTITION BY {KEYS} ORDER BY seq) AS head FROM acks), cells AS")
+    reached = f"reached AS (SELECT {KEYS}, max(head) AS head FROM seen GROUP BY {KEYS})"
+    tumble = window_sql(f"{lagged}, {reached}, tc AS (SELECT *, (epoch // 6) * 6 AS lo FROM cells)", "tc", "tumbling", 6)
+    slid = window_sql(f"{lagged}, {reached}, tc AS (SELECT cells.*, epoch - o AS lo FROM cells, range(6) AS r(o))", "tc", "sliding", 6)
+    q["windows_after_late_drop"] = f"WITH {tumble} SELECT {WIN_COLS} FROM win"
+    for kind, body in (("tumbling", tumble), ("sliding", slid)):
+        q[f"stream_{kind}_windows"] = f"WITH {body} SELECT {WIN_COLS} FROM win JOIN reached USING ({KEYS}) WHERE lo + 6 <= head"
     q["stream_routes"] = f"WITH {ENVELOPES} SELECT topic, reason, count(*) AS events FROM routed GROUP BY topic, reason"
     q["stream_dedupe"] = "SELECT event_id, user_id, event_type, value FROM events"
+    q["stream_dedupe_late"] = q["stream_dedupe"]
+    q["stream_verdict"] = (f"WITH {VERDICTS} SELECT {KEYS}, orders_checked, trades_checked, violations, coalesce(by_rule, '{{}}') AS violations_by_rule, "
+                           "round(correctness, 9) AS correctness_score FROM verdict")
     q["stream_board"] = f"""WITH {TUMBLING}, {STABILITY}, lw AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {KEYS}
         ORDER BY window_start DESC) AS rn FROM winw) JOIN stab USING ({KEYS}) WHERE rn = 1),
       sco AS ({score_sql('lw', '1.0::DOUBLE', 'tps_cov')})

@@ -4,16 +4,16 @@ import json
 
 import pytest
 from book_cases import random_stream
+from book_model import Model
 from pyspark.sql import functions as F
 
 from flowboard import schemas
 from flowboard.functions.timeline import HOUR
-from flowboard.operators import tables, windows
+from flowboard.operators import rules, tables, windows
 from flowboard.plans import views
 from flowboard.plans.registry import QUERIES
 from flowboard.sources import envelopes
-from flowboard.streaming import jobs, validator
-from flowboard.streaming.replay import Replay
+from flowboard.streaming import jobs
 
 
 def rows(df):
@@ -32,19 +32,22 @@ def events(spark, sf, tmp_path):
 
 
 @pytest.mark.parametrize("kind", ["tumbling", "sliding"])
-def test_windows_equal_batch(spark, events, tmp_path, kind):
+def test_windows_equal_batch_but_for_the_open_one(spark, events, tmp_path, kind):
+    """Acks hours late in three micro-batches: closed windows that late rows reach are written again."""
     stream, table = events
-    out, cp = str(tmp_path / "out"), str(tmp_path / "cp")
-    outcomes = windows.ack_outcomes(views.from_events(stream))
-    getattr(jobs, kind)(outcomes, out, cp, slots=6, slot_ns=HOUR, retention_slots=60).awaitTermination()
-    got = spark.read.parquet(out).drop(tables.BATCH)
-    batch = windows.ack_outcomes(views.from_events(table))
-    want = (windows.tumbling(batch, 6, HOUR) if kind == "tumbling"
-            else windows.sliding(windows.slot_cells(batch, HOUR), 6, HOUR))
-    closed = table.agg((F.max("ts") - F.expr("interval 60 hours")).alias("w")).first().w
-    want = want.filter(F.col("window_end") <= F.lit(closed))
+    out = str(tmp_path / "out")
+    outcomes = windows.ack_outcomes(views.from_events(stream, lagged=True), "seq")
+    jobs.live_windows(outcomes, kind, out, str(tmp_path / "cp"), slots=6, slot_ns=HOUR, retention_slots=60).awaitTermination()
+    got = jobs.closed_windows(spark, out)
+    batch = windows.ack_outcomes(views.from_events(table, lagged=True), "seq")
+    kept = windows.drop_late(batch, "seq", 60, HOUR)
+    assert kept.count() < batch.count()
+    want = windows.tumbling(kept, 6, HOUR) if kind == "tumbling" else windows.sliding(windows.slot_cells(kept, HOUR), 6, HOUR)
+    heads = batch.groupBy("run_id", "submission_id").agg(((F.max("ts_ns") - F.max("ts_ns") % HOUR) / 1000).cast("bigint").alias("head"))
+    want = want.join(heads, ["run_id", "submission_id"]).filter(F.unix_micros(F.col("window_end").cast("timestamp")) <= F.col("head"))
     assert got.count() > 100
-    assert rows(got.select(want.columns)) == rows(want)
+    assert rows(got.select(windows.WINDOW_COLUMNS)) == rows(want.select(windows.WINDOW_COLUMNS))
+    assert spark.read.parquet(f"{out}/windows").count() > got.count()
 
 
 def test_ingest_equals_batch(spark, events, tmp_path):
@@ -59,13 +62,22 @@ def test_ingest_equals_batch(spark, events, tmp_path):
 
 def test_dedupe(spark, events, tmp_path):
     stream, table = events
-    twice = stream.withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2)))).withColumn("at", F.col("ts").cast("timestamp"))
-    once = jobs.dedupe(twice, ["event_id"], "at", "1 hour")
+    twice = stream.withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2))))
     out = str(tmp_path / "out")
-    jobs.start(once, lambda b, i: tables.write_changes(b, out, i), str(tmp_path / "cp")).awaitTermination()
+    jobs.dedupe(twice, ["event_id"], out, str(tmp_path / "cp")).awaitTermination()
     assert spark.read.parquet(out).count() == table.count()
 
 
+def test_dedupe_keeps_first_deliveries_that_come_late(spark, tmp_path):
+    """Ids at 10:00, 12:00, 12:30 and 10:30 as four micro-batches, then one of them again."""
+    src, out = str(tmp_path / "in"), str(tmp_path / "out")
+    for i, at in ((0, "10:00"), (1, "12:00"), (2, "12:30"), (3, "10:30"), (1, "12:00")):
+        spark.createDataFrame([(i, at)], "id bigint, at string").coalesce(1).write.mode("append").parquet(src)
+    stream = jobs.file_source(spark, src, spark.createDataFrame([], "id bigint, at string").schema, "parquet", maxFilesPerTrigger="1")
+    jobs.dedupe(stream, ["id"], out, str(tmp_path / "cp")).awaitTermination()
+    assert sorted(r.id for r in spark.read.parquet(out).collect()) == [0, 1, 2, 3]
+
+
 def test_score_board(spark, sf, tmp_path):
     w = QUERIES["tumbling_windows"](spark, sf)
     src, out = str(tmp_path / "in"), str(tmp_path / "out")
@@ -85,24 +97,26 @@ def test_score_board(spark, sf, tmp_path):
         assert r.prev_rank == before.get((r.run_id, r.submission_id), 0)
 
 
-def test_stateful_validation(spark, tmp_path):
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", validator.PROVIDER)
+def test_verdicts_over_batches(spark, tmp_path):
+    """Three micro-batches, order ids beyond 2^53."""
+    big = 1 << 53
     streams = {f"s{i}": random_stream(f"s{i}", 50 + i, n=150, irregular=True) for i in range(2)}
-    src = str(tmp_path / "in")
-    for lo, hi in ((0, 200), (200, 10**9)):
+    for events in streams.values():
+        for e in events:
+            for name in ("order_id", "maker_order_id"):
+                e[name] = e[name] if e[name] is None else big + e[name]
+    src, out = str(tmp_path / "in"), str(tmp_path / "out")
+    for lo, hi in ((0, 150), (150, 300), (300, 10**9)):
         part = [tuple(e.values()) for s in streams.values() for e in s if lo <= e["pos"] < hi]
         spark.createDataFrame(part, schemas.ORDER_EVENT).coalesce(1).write.mode("append").parquet(src)
     schema = spark.createDataFrame([], schemas.ORDER_EVENT).schema
-    stream = jobs.file_source(spark, src, schema, "parquet", maxFilesPerTrigger="1")
-    out = str(tmp_path / "out")
-    jobs.start(validator.verdict_stream(stream), lambda b, i: tables.write_changes(b, out, i), str(tmp_path / "cp"),
-               mode="update").awaitTermination()
-    got = {r.submission_id: r for r in tables.read_current(spark, out, ["run_id", "submission_id"]).collect()}
+    jobs.verdicts(jobs.file_source(spark, src, schema, "parquet", maxFilesPerTrigger="1"), out, str(tmp_path / "cp")).awaitTermination()
+    log = spark.read.parquet(f"{out}/verdicts")
+    assert log.select(tables.BATCH).distinct().count() == 3
+    got = {r.submission_id: r for r in tables.read_current(spark, f"{out}/verdicts", ["run_id", "submission_id"]).collect()}
     for sub, events in streams.items():
-        want = Replay()
-        for e in events:
-            want.apply(e)
-        r = got[sub]
-        assert (r.orders_checked, r.trades_checked, r.violations) == (want.orders, want.trades, want.violations)
+        want, r = Model(events), got[sub]
+        assert (r.orders_checked, r.trades_checked, r.violations) == (want.orders, want.trades, len(want.findings))
         assert json.loads(r.violations_by_rule) == want.by_rule
-        assert [tuple(x) for x in json.loads(r.recent_findings)] == want.recent
+        back = rules.verdict_from_json(spark.createDataFrame([(r.violations_by_rule, r.recent_findings)], "violations_by_rule string, recent_findings string")).first()
+        assert [tuple(x) for x in back.recent_findings] == want.findings[-25:]
