@@ -34,6 +34,39 @@ def expected_interval_samples(df: DataFrame, value: str, interval: Column) -> Da
     return df.withColumn(value, F.explode(F.concat(F.array(v.cast("bigint")), missing)))
 
 
+def build_corrected(df: DataFrame, keys: Sequence[str], value: str, interval: Column, layout: hdr.Layout = hdr.DEFAULT) -> DataFrame:
+    """`build` over `expected_interval_samples`, without making the samples.
+
+    The back-filled values v - k * e fall into each bucket a number of times that follows from its
+    bounds, so a row gives at most one entry per bucket (or per sample, if those are fewer),
+    however long the stall.
+    """
+    v, e = F.col(value).cast("bigint"), interval.cast("bigint")
+    div = lambda x, y: F.call_function("div", x, y)
+    last = F.when((e > 0) & (v > e), div(v, e) - 1).otherwise(F.lit(0).cast("bigint"))  # k from 1 to here
+    top = hdr.bucket_of(F.lit(layout.highest), layout)
+    one = F.lit(1).cast("bigint")
+
+    def sampled(k: Column) -> Column:
+        at = v - k * e
+        return F.struct(hdr.bucket_of(at, layout).alias("bucket"), one.alias("n"), hdr.clamp(at, layout).alias("max_us"))
+
+    def counted(b: Column) -> Column:
+        low = hdr.bucket_low(b, layout)
+        high = F.when(b == top, v).otherwise(hdr.bucket_high(b, layout))
+        first = F.greatest(one, div(v - high + e - 1, e))
+        until = F.least(last, div(v - low, e))
+        return F.struct(b.alias("bucket"), F.greatest(until - first + 1, F.lit(0)).cast("bigint").alias("n"), hdr.clamp(v - first * e, layout).alias("max_us"))
+
+    lowest, highest = hdr.bucket_of(v - last * e, layout), hdr.bucket_of(v - e, layout)
+    filled = F.when(last < 1, F.array().cast("array<struct<bucket:int,n:bigint,max_us:bigint>>")).when(
+        last <= highest - lowest + 1, F.transform(F.sequence(one, last), sampled)).otherwise(
+        F.filter(F.transform(F.sequence(lowest, highest), counted), lambda c: c["n"] > 0))
+    own = F.array(F.struct(hdr.bucket_of(v, layout).alias("bucket"), one.alias("n"), hdr.clamp(v, layout).alias("max_us")))
+    rows = df.select(*keys, F.inline(F.concat(own, filled))).filter(F.col("bucket").isNotNull())
+    return merge(rows, keys)
+
+
 def quantile_columns(
     bucket: Column, cumulative: Column, total: Column, percentiles: dict[str, float],
     layout: hdr.Layout = hdr.DEFAULT,

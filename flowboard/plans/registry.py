@@ -248,9 +248,8 @@ def hdr_merge(spark, sf):
 
 @query
 def hdr_coordinated_omission(spark, sf):
-    filled = histograms.expected_interval_samples(
-        views.acks(spark, sf).select(*KEYS, "ack_latency_us"), "ack_latency_us", F.lit(50_000))
-    return _rounded(histograms.summarise(histograms.build(filled, KEYS, F.col("ack_latency_us")), KEYS), "mean_us")
+    filled = histograms.build_corrected(views.acks(spark, sf), KEYS, "ack_latency_us", F.lit(50_000))
+    return _rounded(histograms.summarise(filled, KEYS), "mean_us")
 
 
 @query

@@ -396,3 +396,19 @@ def test_lifecycle_wire_rules(spark):
     assert [r.event_id for r in envelopes.lifecycle_decode(wire).collect()] == ["1"]
     typed = envelopes.lifecycle_payload(df.filter("event_id = '1'").withColumn("type", F.lit("teardown.requested")), "teardown.requested")
     assert typed.first().reason == "x"
+
+
+def test_corrected_histogram_equals_back_filled_samples(spark):
+    import random
+    rng = random.Random(0)
+    values = [None, -5, 0, 1, 49, 50, 51, 99, 100, 101, 10_000_000, 25_000_000] + [rng.randrange(1, 3_000_000) for _ in range(60)]
+    df = spark.createDataFrame([(i % 3, v) for i, v in enumerate(values)], "k int, v bigint")
+    for e in (0, 1, 7, 50, 1000, 400_000):
+        few = df.filter(F.coalesce("v", F.lit(0)) < 5000 * max(e, 20))
+        want = histograms.build(histograms.expected_interval_samples(few, "v", F.lit(e)), ["k"], F.col("v"))
+        got = histograms.build_corrected(few, ["k"], "v", F.lit(e))
+        pick = lambda d: sorted((r.k, r.bucket, r.n, r.max_us) for r in d.collect())
+        assert pick(got) == pick(want), e
+    stall = spark.createDataFrame([(1, 1 << 40)], "k int, v bigint")
+    total = histograms.build_corrected(stall, ["k"], "v", F.lit(1)).agg(F.sum("n")).first()[0]
+    assert total == 1 << 40
