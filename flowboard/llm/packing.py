@@ -161,12 +161,9 @@ def pack(docs: DataFrame, tokenizer_path: str, size: int = WINDOW, end_id: int =
         parts = list(_packed(items(), size, key[0]))
         return pd.concat(parts) if parts else _frame([])
 
-    flat = documents(docs).withColumn("doc_id", F.col("doc_id"))
-    rounds = [cut(flat.mapInPandas(first, _PIECE))]
-    tasks = max(1, flat.rdd.getNumPartitions())
-    while tasks > 1:
-        tasks = -(-tasks // MERGE)
-        opened = rounds[-1].where("seq < 0").withColumn("to", F.floor(F.col("grp") / MERGE))
+    rounds = [cut(documents(docs).mapInPandas(first, _PIECE))]
+    while (opened := rounds[-1].where("seq < 0")).select("grp").distinct().count() > 1:
+        opened = opened.withColumn("to", F.floor(F.col("grp") / MERGE))
         rounds.append(cut(opened.groupBy("to").applyInPandas(again, _PIECE)))
     parts = [t.where("seq >= 0").withColumn("round", F.lit(i)) for i, t in enumerate(rounds)]
     parts.append(rounds[-1].where("seq < 0").withColumn("seq", F.lit(0).cast("bigint")).withColumn("round", F.lit(len(rounds))))
