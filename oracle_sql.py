@@ -93,7 +93,6 @@ ENVELOPES = f"""src AS (SELECT *, {K} AS k, {NS} AS ns FROM events),
 GOOD = f"{ENVELOPES}, good AS (SELECT * FROM routed WHERE reason IS NULL)"
 
 # ---- order book ----
-ROUNDS = 18
 PRICE = "round(100 + (({k} * 7919) % 41 - 20) * CAST(0.01 AS DOUBLE), 2)"
 
 
@@ -115,18 +114,26 @@ BOOK_BASE = f"""ord AS MATERIALIZED (SELECT o_orderkey AS k, 'sub-' || lpad(CAST
     FROM lineitem)"""
 
 
-def _round(i):
-    """Fills whose maker rests, given which fills were valid in the round before."""
-    prev = f"JOIN v{i - 1} USING (sub, pos)" if i else ""
-    return f"""e{i} AS (SELECT sub, mk AS o, pos, q, true AS mk FROM fl UNION ALL
-      SELECT sub, k AS o, pos, q, false FROM fl {prev}),
-    s{i} AS (SELECT e.*, c.qty, c.cpos, sum(e.q) OVER (PARTITION BY e.sub, e.o ORDER BY e.pos) - e.q AS used
-      FROM e{i} e JOIN cand c ON c.sub = e.sub AND c.k = e.o WHERE e.pos > c.ack),
-    v{i} AS MATERIALIZED (SELECT sub, pos FROM s{i} WHERE mk AND used < qty AND (cpos IS NULL OR pos < cpos))"""
-
-
-BOOK = f"""{BOOK_BASE}, {', '.join(_round(i) for i in range(ROUNDS))},
-  last AS (SELECT * FROM s{ROUNDS - 1}),
+def _taken(valid, tag):
+    """CTEs from the fills in `valid`: s (resting quantity used before each event of an order) and v (fills whose maker rests)."""
+    taken = f"SELECT sub, k AS o, pos, q, false AS mk FROM fl JOIN (SELECT DISTINCT sub, pos FROM {valid}) USING (sub, pos)" if valid else ""
+    return f"""e{tag} AS (SELECT sub, mk AS o, pos, q, true AS mk FROM fl {'UNION ALL ' + taken if valid else ''}),
+    s{tag} AS (SELECT e.*, c.qty, c.cpos, sum(e.q) OVER (PARTITION BY e.sub, e.o ORDER BY e.pos) - e.q AS used
+      FROM e{tag} e JOIN cand c ON c.sub = e.sub AND c.k = e.o WHERE e.pos > c.ack),
+    v{tag} AS (SELECT sub, pos FROM s{tag} WHERE mk AND used < qty AND (cpos IS NULL OR pos < cpos))"""
+
+
+# Rounds go on until the set of valid fills stays the same. Position -1 marks each round, so an empty set is one too.
+BOOK = f"""{BOOK_BASE}, {_taken(None, '0')},
+  settle(i, sub, pos) AS (SELECT 0, sub, pos FROM v0 UNION ALL SELECT 0, '', -1
+    UNION ALL (WITH old AS (SELECT * FROM settle), {_taken('old', 'n')},
+      changed AS (SELECT count(*) AS n FROM ((SELECT sub, pos FROM vn EXCEPT SELECT sub, pos FROM old)
+        UNION ALL (SELECT sub, pos FROM old WHERE pos >= 0 EXCEPT SELECT sub, pos FROM vn))),
+      turn AS (SELECT max(i) + 1 AS i FROM old)
+      SELECT turn.i, n.sub, n.pos FROM (SELECT sub, pos FROM vn UNION ALL SELECT '', -1) n, turn, changed WHERE changed.n > 0)),
+  settled AS MATERIALIZED (SELECT sub, pos FROM settle WHERE i = (SELECT max(i) FROM settle) AND pos >= 0),
+  {_taken('settled', 'z')},
+  last AS (SELECT * FROM sz),
   done AS (SELECT sub, o, min(pos) AS pos FROM last WHERE used + q >= qty GROUP BY sub, o),
   spans AS (SELECT sub, max(pos) AS last_pos FROM (SELECT sub, pos FROM fl UNION ALL SELECT sub, ack FROM ord WHERE accepted
     UNION ALL SELECT sub, pos FROM cxl) GROUP BY sub),
@@ -141,7 +148,7 @@ BOOK = f"""{BOOK_BASE}, {', '.join(_round(i) for i in range(ROUNDS))},
       CAST(greatest(0, t.qty - coalesce(sum(f.q) OVER (PARTITION BY f.sub, f.k ORDER BY f.pos
         ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS BIGINT) END AS t_left
     FROM fl f JOIN ord t ON t.k = f.k LEFT JOIN life tl ON tl.sub = f.sub AND tl.k = f.k
-    LEFT JOIN v{ROUNDS - 1} v ON v.sub = f.sub AND v.pos = f.pos
+    LEFT JOIN settled v ON v.sub = f.sub AND v.pos = f.pos
     LEFT JOIN life m ON m.sub = f.sub AND m.k = f.mk AND v.pos IS NOT NULL
     LEFT JOIN last l ON l.sub = f.sub AND l.pos = f.pos AND l.mk AND v.pos IS NOT NULL)"""
 LIVE_AT = "l.start < {at} AND (l.fin IS NULL OR l.fin >= {at})"
@@ -583,4 +590,4 @@ def oracle_sql() -> dict[str, str]:
         sha256(text) AS sha256, CAST(strlen(text) AS BIGINT) AS size FROM documents)
       SELECT *, CASE WHEN size > 104857600 THEN 'artifact exceeds max upload size' WHEN artifact_id % 3 = 2 THEN 'sha256 mismatch'
         WHEN submission_type = 'binary' THEN 'binary artifact is not an ELF executable' END AS error FROM d"""
-    return q
+    return {name: text.replace("WITH ", "WITH RECURSIVE ", 1) if "settle(i" in text else text for name, text in q.items()}
