@@ -535,6 +535,64 @@ def upsert_peaks(spark, sf):
     return _rounded(out.select(*KEYS, "updated_at", "total_transactions", "peak_tps", "current_tps"), "peak_tps", "current_tps")
 
 
+# ---- sinks, written and read back ------------------------------------------------------------
+
+@query
+def stored_windows(spark, sf):
+    """Two batches of window upserts with one key in common: the later one stands."""
+    path, rows = new_path(spark, "windows"), cut(_tumbling(spark, sf))
+    early = rows.filter(F.col("window_start") < F.lit("2024-01-16").cast("timestamp_ntz"))
+    tables.write_changes(early.withColumn("transactions", F.col("transactions") + 1), path, 0)
+    tables.write_changes(rows, path, 1)
+    stored = tables.read_current(spark, path, tables.TABLE_KEYS["window_aggregates"])
+    return _rounded(stored.select(*windows.WINDOW_COLUMNS), "tps", "error_rate", "mean_us")
+
+
+@query
+def stored_peaks(spark, sf):
+    """Rolling stats written twice, the second time without the first half: the peak never falls."""
+    path, rows = new_path(spark, "rolling"), _tumbling(spark, sf)
+    tables.write_changes(windows.rolling_stats(rows), path, 0)
+    tables.write_changes(windows.rolling_stats(rows.filter(F.col("window_start") >= F.lit("2024-01-16").cast("timestamp_ntz"))), path, 1)
+    stored = tables.read_current(spark, path, tables.TABLE_KEYS["rolling_stats"], tables.KEEP_MAX["rolling_stats"])
+    return _rounded(stored.select(*KEYS, "total_transactions", "peak_tps"), "peak_tps")
+
+
+@query
+def stored_sandbox_samples(spark, sf):
+    path = new_path(spark, "samples")
+    tables.append_samples(views.sandbox_samples(spark, sf), path)
+    return spark.read.parquet(path).select(*KEYS, "seq", "sample_ts", "pod_name", "health", F.col("day").cast("date").alias("day"))
+
+
+@query
+def stored_probe_samples(spark, sf):
+    path = new_path(spark, "probes")
+    tables.append_samples(views.probe_samples(spark, sf), path, "time")
+    return spark.read.parquet(path).select("submission_id", "pos", "healthy", "latency_ms", F.col("day").cast("date").alias("day"))
+
+
+@query
+def board_mirror(spark, sf):
+    """The board, mirrored and rebuilt; run-0 is older than the time to live and gone."""
+    path = new_path(spark, "mirror")
+    now = F.lit("2024-02-01 00:00:00").cast("timestamp_ntz")
+    age = F.when(F.col("run_id") == "run-0", F.expr("interval 25 hours")).otherwise(F.expr("interval 23 hours"))
+    rows = _board(spark, sf, verdicts=False).select(*KEYS, "rank", "composite", "p99_us", (now - age).alias("updated"))
+    tables.write_board(rows, path)
+    return tables.read_board(spark, path, "updated", now).select(*KEYS, "rank", F.round("composite", 9).alias("composite"), "p99_us")
+
+
+@query
+def summary_files(spark, sf):
+    """Summaries of resource samples as files, the JSON records read back."""
+    path = new_path(spark, "summary")
+    summary = fleet.resource_summary(views.resource_samples(spark, sf))
+    tables.write_summary(summary, path)
+    back = spark.read.schema(f"schema_version string, run {summary.schema.simpleString()}").json(f"{path}/json")
+    return back.select("schema_version", "run.*")
+
+
 # ---- lifecycle ----------------------------------------------------------------------------
 
 @query

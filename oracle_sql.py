@@ -534,6 +534,18 @@ def oracle_sql() -> dict[str, str]:
       SELECT {KEYS}, latency_score, throughput_score, correctness_score, stability_score, composite,
         row_number() OVER (PARTITION BY run_id ORDER BY composite DESC, p99_us, submission_id) AS rank,
         CAST(0 AS BIGINT) AS prev_rank FROM sco"""
+    # sinks
+    q["stored_windows"] = q["tumbling_windows"]
+    q["stored_peaks"] = f"""WITH {TUMBLING}, a AS (SELECT {KEYS}, sum(transactions) AS t, max(tps) AS p FROM winw GROUP BY {KEYS}),
+        b AS (SELECT {KEYS}, sum(transactions) AS t FROM winw WHERE window_start >= TIMESTAMP '2024-01-16' GROUP BY {KEYS})
+      SELECT {KEYS}, CAST(coalesce(b.t, a.t) AS BIGINT) AS total_transactions, round(a.p, 9) AS peak_tps FROM a LEFT JOIN b USING ({KEYS})"""
+    q["stored_sandbox_samples"] = f"""SELECT {RUN} AS run_id, {SUB} AS submission_id, event_id AS seq, {NS} AS sample_ts,
+        'pod-' || CAST(user_id AS VARCHAR) AS pod_name, CASE WHEN {K} >= 95 THEN 'UNHEALTHY' WHEN {K} >= 85 THEN 'DEGRADED'
+          WHEN {K} < 5 THEN '' ELSE 'READY' END AS health, CAST(ts AS DATE) AS day FROM events"""
+    q["stored_probe_samples"] = ("SELECT 'u-' || CAST(user_id AS VARCHAR) AS submission_id, event_id AS pos, event_type <> 'error' AS healthy, "
+                                 "value AS latency_ms, CAST(ts AS DATE) AS day FROM events")
+    q["board_mirror"] = f"WITH {board(False)} SELECT {KEYS}, rank, round(composite, 9) AS composite, p99_us FROM brd WHERE run_id <> 'run-0'"
+    q["summary_files"] = f"SELECT '1.0' AS schema_version, * FROM ({q['resource_summary']})"
     # lifecycle
     q["submission_checks"] = r"""WITH r AS (SELECT c_custkey AS request_id, md5(c_name) AS h, c_nationkey AS n, c_name,
         CASE c_mktsegment WHEN 'MACHINERY' THEN 'cpp' WHEN 'BUILDING' THEN 'rust' WHEN 'FURNITURE' THEN 'java' ELSE 'go' END AS lang,
