@@ -100,6 +100,11 @@ def payload_connections(spark, sf):
     return envelopes.payload_of(_routed(spark, sf).filter("reason is null"), "connection_opened")
 
 
+@query
+def payload_closings(spark, sf):
+    return envelopes.payload_of(_routed(spark, sf).filter("reason is null"), "connection_closed")
+
+
 @query
 def native_bot_metrics(spark, sf):
     env = envelopes.native_bot_metrics(views.native_metrics(spark, sf))

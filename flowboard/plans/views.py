@@ -124,13 +124,22 @@ def from_events_body(events: DataFrame) -> DataFrame:
     opened = F.to_json(F.struct(
         F.col("event_id").alias("connection_id"), F.col("user_id").alias("bot_id"),
         F.lit("10.0.0.1").alias("remote_addr"), ns.alias("opened_ts"), latency.alias("handshake_us")))
+    cancel = F.to_json(F.struct(
+        F.col("user_id").alias("bot_id"), F.col("event_id").alias("order_id"), (k + 1).alias("cancelled_quantity"),
+        F.lit("user").alias("reason"), ns.alias("recv_ts")))
+    closed = F.to_json(F.struct(
+        F.col("event_id").alias("connection_id"), F.col("user_id").alias("bot_id"), F.lit("eof").alias("close_reason"),
+        ns.alias("closed_ts"), (k * 10).alias("bytes_sent"), latency.alias("bytes_recv")))
+    is_closed = (F.col("event_type") == "signup") & (k % 3 == 1)
+    is_cancel = ~F.col("event_type").isin("view", "purchase", "signup") & (k % 5 == 3)
     kind = (
         F.when(F.col("event_type") == "view", "order_submitted").when(F.col("event_type") == "purchase", "order_filled")
-        .when(F.col("event_type") == "signup", "connection_opened").otherwise("order_ack")
+        .when(is_closed, "connection_closed").when(F.col("event_type") == "signup", "connection_opened")
+        .when(is_cancel, "order_cancelled").otherwise("order_ack")
     )
     payload = (
         F.when(F.col("event_type") == "view", submit).when(F.col("event_type") == "purchase", fill)
-        .when(F.col("event_type") == "signup", opened).otherwise(ack)
+        .when(is_closed, closed).when(F.col("event_type") == "signup", opened).when(is_cancel, cancel).otherwise(ack)
     )
     quoted = lambda name, c: F.concat(F.lit(f'"{name}":"'), c, F.lit('",'))
     text = F.concat(

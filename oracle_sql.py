@@ -78,7 +78,8 @@ def span(kind, slots, tag="s", final=True, cte=SAMPLES):
 
 # ---- ingest ----
 TYPE = ("CASE event_type WHEN 'view' THEN 'order_submitted' WHEN 'purchase' THEN 'order_filled' "
-        "WHEN 'signup' THEN 'connection_opened' ELSE 'order_ack' END")
+        "WHEN 'signup' THEN CASE WHEN k % 3 = 1 THEN 'connection_closed' ELSE 'connection_opened' END "
+        "ELSE CASE WHEN k % 5 = 3 THEN 'order_cancelled' ELSE 'order_ack' END END")
 ENVELOPES = f"""src AS (SELECT *, {K} AS k, {NS} AS ns FROM events),
   env AS MATERIALIZED (SELECT event_id AS request_id, CAST(i AS BIGINT) AS item, event_id AS seq, k, ns, user_id, value, event_type,
     CASE WHEN k = 90 THEN '' ELSE {RUN} END AS run_id, CASE WHEN k = 91 THEN '' ELSE {SUB} END AS submission_id,
@@ -349,10 +350,11 @@ def oracle_sql() -> dict[str, str]:
           || ',"quantity":' || (k + 1) || ',"send_ts":' || ns || ',"target_order_id":0}}'
         WHEN 'purchase' THEN {at} || ',"maker_order_id":' || (event_id - 1) || ',"fill_price":' || value || ',"fill_quantity":' || (k + 1)
           || ',"remaining_quantity":0,"trade_id":' || event_id || ',"recv_ts":' || ns || '}}'
-        WHEN 'signup' THEN '{{"connection_id":' || event_id || ',"bot_id":' || user_id || ',"remote_addr":"10.0.0.1","opened_ts":' || ns
-          || ',"handshake_us":' || {lat} || '}}'
-        ELSE {at} || ',"accepted":' || CASE WHEN event_type <> 'error' THEN 'true' ELSE 'false' END || ',"recv_ts":' || ns
-          || ',"ack_latency_us":' || {lat} || '}}' END AS payload FROM src),
+        WHEN 'signup' THEN '{{"connection_id":' || event_id || ',"bot_id":' || user_id || CASE WHEN k % 3 = 1
+          THEN ',"close_reason":"eof","closed_ts":' || ns || ',"bytes_sent":' || (k * 10) || ',"bytes_recv":' || {lat} || '}}'
+          ELSE ',"remote_addr":"10.0.0.1","opened_ts":' || ns || ',"handshake_us":' || {lat} || '}}' END
+        ELSE {at} || CASE WHEN k % 5 = 3 THEN ',"cancelled_quantity":' || (k + 1) || ',"reason":"user","recv_ts":' || ns || '}}' ELSE ',"accepted":' || CASE WHEN event_type <> 'error' THEN 'true' ELSE 'false' END || ',"recv_ts":' || ns
+          || ',"ack_latency_us":' || {lat} || '}}' END END AS payload FROM src),
       env AS (SELECT *, '{{"run_id":"' || CASE WHEN k = 90 THEN '' ELSE {RUN} END || '","submission_id":"' || CASE WHEN k = 91 THEN ''
           ELSE {SUB} END || '","seq":' || event_id || ',"emit_ts":' || ns || ',"source":"bot-fleet/shard-' || (user_id % 4) || '","type":"'
           || CASE WHEN k = 92 THEN '' WHEN k = 94 THEN 'order_teleported' ELSE {TYPE} END || '"'
@@ -376,6 +378,8 @@ def oracle_sql() -> dict[str, str]:
       CASE WHEN type = 'order_filled' THEN CAST(0 AS BIGINT) END AS remaining_quantity FROM good WHERE type LIKE 'order%'"""
     q["payload_connections"] = (f"WITH {GOOD} SELECT {KEYS}, seq, seq AS connection_id, user_id AS bot_id, '10.0.0.1' AS remote_addr, "
                                 "ns AS opened_ts, CAST(round(value * 1000) AS BIGINT) AS handshake_us FROM good WHERE type = 'connection_opened'")
+    q["payload_closings"] = (f"WITH {GOOD} SELECT {KEYS}, seq, seq AS connection_id, user_id AS bot_id, 'eof' AS close_reason, ns AS closed_ts, "
+                             "CAST(k * 10 AS BIGINT) AS bytes_sent, CAST(round(value * 1000) AS BIGINT) AS bytes_recv FROM good WHERE type = 'connection_closed'")
     q["native_bot_metrics"] = f"""SELECT {RUN} AS run_id, {SUB} AS submission_id, event_id AS seq,
       CASE WHEN {K} < 50 THEN 'bot-fleet' ELSE 'fleet-a' END AS source, user_id % 4 AS shard_id, user_id AS transactions,
       CAST({K} AS BIGINT) AS errors, CAST(1 AS BIGINT) AS timeouts, 5.0::DOUBLE AS window_seconds, CAST(0 AS BIGINT) AS p50_us,
