@@ -156,9 +156,9 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     the start, however many copies there are; texts without words are alike only if equal. Rows with the same doc_id and text are
     one document and get the same values. An empty table gives no rows.
 
-    Nodes that share a band meet in a bucket. First each bucket's least node is compared
-    with all others. Where a bucket still spans several classes, further of its nodes are compared with
-    those of other classes, four times as many in each round, until none is left to compare:
+    Nodes that share a band meet in a bucket. First each bucket's hub, the node that shares most
+    buckets with most others, is compared with all others. Where a bucket still spans several classes, further of its nodes, by the
+    same order, are compared with those of other classes, ever more in each round, until none is left to compare. A pair is formed in one bucket only:
     no pair within a class is ever formed, none across classes is left out, and no bucket is held in one task.
     """
     spark = docs.sparkSession
@@ -168,32 +168,42 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     nodes = cut(nodes.select(F.monotonically_increasing_id().alias("u"), "c1", "c2", "at.doc_id", "at.t1", "at.t2", "sig"))
     bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.xxhash64(b, F.slice("sig", b * ROWS + 1, F.lit(ROWS))))
     members = nodes.where("sig is not null").select("u", F.explode(bands).alias("bucket"))
-    full = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("u").alias("least")).where("n > 1").drop("n")
+    full = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     members = cut(members.join(full, "bucket"))
-    tested = cut(members.where("u > least").select(F.col("least").alias("u"), F.col("u").alias("v")).distinct())
-    links = [_verified(tested, nodes, docs, similarity)]
-    labels = cut(component_labels(links[0]))
-    rest, takes = members.where("u > least").drop("least"), 4
+    # A text that others were made from shares bands with more of them than they do with each other.
+    rank = members.groupBy("u").agg(F.sum("n").alias("met"))
+    ranked = cut(members.select("bucket", "u").join(rank, "u"))
+    drop(spark, members)
+    hubs = ranked.groupBy("bucket").agg(F.max(F.struct("met", (-F.col("u")).alias("u"))).alias("hub")).select("bucket", (-F.col("hub.u")).alias("hub"))
+    members = cut(ranked.join(hubs, "bucket"))
+    drop(spark, ranked)
+    pair = [F.least("u", "hub").alias("u"), F.greatest("u", "hub").alias("v")]
+    tested = cut(members.where("u <> hub").select(*pair).distinct())
+    links = _verified(tested, nodes, docs, similarity)
+    labels = cut(component_labels(links))
+    rest, takes = members.where("u <> hub").drop("hub"), 16
     while True:
         # Buckets that still span classes, and their next nodes by order.
-        of = rest.join(labels, "u", "left").select("bucket", "u", F.coalesce("label", "u").alias("label"))
+        of = rest.join(labels, "u", "left").select("bucket", "u", "met", F.coalesce("label", "u").alias("label"))
         mixed = of.groupBy("bucket").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a < b").select("bucket")
-        of = cut(of.join(mixed, "bucket", "left_semi"))
+        of = cut(of.join(mixed, "bucket", "left_semi").join(nodes.select("u", bands.alias("bands")), "u"))
         if of.isEmpty():
             break
-        by = Window.partitionBy("bucket").orderBy("u")
+        by = Window.partitionBy("bucket").orderBy(F.desc("met"), "u")
         heads = of.withColumn("k", F.row_number().over(by)).where(F.col("k") <= takes).drop("k")
-        heads = cut(heads.select("bucket", F.col("u").alias("head"), F.col("label").alias("head_label")))
-        pairs = of.join(heads, "bucket").where("label <> head_label").select(F.least("u", "head").alias("u"), F.greatest("u", "head").alias("v")).distinct()
+        heads = cut(heads.select("bucket", F.col("u").alias("head"), F.col("label").alias("head_label"), F.col("bands").alias("head_bands")))
+        # Of all buckets two nodes share, they meet in that of their first common band.
+        common = F.filter(F.zip_with("bands", "head_bands", lambda a, b: F.when(a == b, a)), lambda x: x.isNotNull())
+        met = (of["bucket"] == heads["bucket"]) & (F.col("label") != F.col("head_label")) & (F.element_at(common, 1) == of["bucket"])
+        pairs = of.join(heads, met).select(F.least("u", "head").alias("u"), F.greatest("u", "head").alias("v")).distinct()
         pairs = cut(pairs.join(tested, ["u", "v"], "left_anti"))
         tested = tested.unionByName(pairs)
-        links.append(_verified(pairs, nodes, docs, similarity))
-        every = links[0]
-        for more in links[1:]:
-            every = every.unionByName(more)
-        labels = cut(component_labels(every))
-        rest = cut(of.join(heads.select("bucket", F.col("head").alias("u")), ["bucket", "u"], "left_anti").select("bucket", "u"))
-        takes *= 4
+        linked = _verified(pairs, nodes, docs, similarity)
+        if not linked.isEmpty():
+            links = links.unionByName(linked)
+            labels = cut(component_labels(links))
+        rest = cut(of.join(heads.select("bucket", F.col("head").alias("u")), ["bucket", "u"], "left_anti").select("bucket", "u", "met"))
+        takes *= 16
     named = nodes.join(labels, "u", "left").select(
         "c1", "c2", F.coalesce("label", "u").alias("label"), place.alias("node_at"))
     sizes = sketched.groupBy("c1", "c2").agg(F.count(F.lit(1)).alias("n"))
