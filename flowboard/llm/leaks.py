@@ -88,25 +88,25 @@ class HammingIndex:
             for i, f in enumerate(fingerprints.tolist()):
                 table[np.uint64((f >> (bits * b)) & ((1 << bits) - 1)) ^ flips] |= np.uint64(1 << i)
             self.tables.append(table)
-        self.bits = np.uint64(bits)
 
     def search(self, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(query position, item, distance) of all pairs within the radius."""
-        mask = np.uint64((1 << int(self.bits)) - 1)
-        sets = self.tables[0][queries & mask]
-        for b in range(1, BLOCKS):
-            sets |= self.tables[b][(queries >> np.uint64(b * int(self.bits))) & mask]
+        # Little-endian halfwords are the blocks, from the lowest bits up.
+        blocks = np.ascontiguousarray(queries.astype("<u8").view("<u2").reshape(-1, BLOCKS).T).astype(np.intp)
+        sets = self.tables[0].take(blocks[0])
+        for table, block in zip(self.tables[1:], blocks[1:]):
+            sets |= table.take(block)
         found = []
         at = np.flatnonzero(sets)
-        sets, asked = sets[at], queries[at]
+        sets, asked = sets.take(at), queries.take(at)
         while len(at):
-            item = np.bitwise_count((sets & -sets) - np.uint64(1)).astype(np.int64)
-            distance = np.bitwise_count(asked ^ self.fingerprints[item])
+            rest = sets & (sets - np.uint64(1))
+            item = np.bitwise_count((sets ^ rest) - np.uint64(1))
+            distance = np.bitwise_count(asked ^ self.fingerprints.take(item))
             hit = np.flatnonzero(distance <= self.radius)
-            found.append((at[hit], item[hit], distance[hit]))
-            sets &= sets - np.uint64(1)
-            more = np.flatnonzero(sets)
-            at, sets, asked = at[more], sets[more], asked[more]
+            found.append((at[hit], item[hit].astype(np.int64), distance[hit]))
+            more = np.flatnonzero(rest)
+            at, sets, asked = at.take(more), rest.take(more), asked.take(more)
         if not found:
             return tuple(np.zeros(0, dtype=np.int64) for _ in range(3))
         return tuple(np.concatenate(x) for x in zip(*found))

@@ -16,8 +16,8 @@ _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
 class _Words(dict):
-    def __missing__(self, word: str) -> int:
-        h = xxhash.xxh3_64_intdigest(word)
+    def __missing__(self, word: str) -> bytes:
+        h = xxhash.xxh3_64_digest(word)
         if len(self) < CACHE_WORDS:
             self[word] = h
         return h
@@ -28,8 +28,7 @@ _words = _Words()
 
 def word_hashes(text: str) -> np.ndarray:
     """Hashes of the words (letters, digits, underscores) of the lower-cased text, in order."""
-    found = _WORD.findall(text.lower())
-    return np.fromiter(map(_words.__getitem__, found), dtype=np.uint64, count=len(found))
+    return np.frombuffer(b"".join(map(_words.__getitem__, _WORD.findall(text.lower()))), dtype="<u8")
 
 
 def mix(x: np.ndarray) -> np.ndarray:
