@@ -114,21 +114,27 @@ def _sketches(docs: DataFrame) -> DataFrame:
     return rows.mapInPandas(run, "doc_id bigint, t1 bigint, t2 bigint, c1 bigint, c2 bigint, sig array<int>")
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, least: float) -> DataFrame:
+def _texts(members: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """(u, text) of the nodes that share a band with another: the only texts that are ever compared."""
+    named = members.select("u").distinct().join(nodes.select("u", "doc_id", "t1", "t2"), "u")
+    t1, t2 = hash_pair(F.coalesce(F.col("text"), F.lit("")))
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("d"), t1.alias("h1"), t2.alias("h2"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    # Always sort-merge, so that text moves in proportion to the input at every size.
+    found = texts.hint("merge").join(named, (F.col("t1") == F.col("h1")) & (F.col("t2") == F.col("h2")) & F.col("doc_id").eqNullSafe(F.col("d")))
+    return cut(found.select("u", "text").dropDuplicates(["u"]))
+
+
+def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     """Those of the pairs (u, v) whose texts are similar enough, as (u, v).
 
-    Signatures of both rule out what is far below the threshold; only texts of the remaining pairs are read and moved.
+    Signatures of both rule out what is far below the threshold; only texts of the remaining pairs are moved.
     """
     floor = least - SLACK * (least * (1 - least) / SIGNATURE) ** 0.5
     sig = nodes.select("u", "sig")
     near = pairs.join(sig.withColumnRenamed("sig", "sig_u"), "u").join(sig.select(F.col("u").alias("v"), F.col("sig").alias("sig_v")), "v")
     agree = F.size(F.filter(F.zip_with("sig_u", "sig_v", lambda a, b: a == b), lambda x: x))
     near = cut(near.where(agree >= floor * SIGNATURE).select("u", "v"))
-    named = near.select("u").union(near.select("v")).distinct().join(nodes.select("u", "doc_id", "t1", "t2"), "u")
-    t1, t2 = hash_pair(F.coalesce(F.col("text"), F.lit("")))
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("d"), t1.alias("h1"), t2.alias("h2"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    of = named.join(texts, (F.col("t1") == F.col("h1")) & (F.col("t2") == F.col("h2")) & F.col("doc_id").eqNullSafe(F.col("d"))).select("u", "text")
-    of = cut(of.dropDuplicates(["u"]))
+    of = cut(texts.join(near.select("u").union(near.select("v")).distinct(), "u", "left_semi"))
     both = near.join(of.select(F.col("u").alias("v"), F.col("text").alias("text_v")), "v").join(of.withColumnRenamed("text", "text_u"), "u")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -142,8 +148,8 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, least: float)
             yield batch.loc[keep, ["u", "v"]]
 
     linked = cut(both.select("u", "v", "text_u", "text_v").mapInPandas(run, "u bigint, v bigint"))
-    drop(docs.sparkSession, of)
-    drop(docs.sparkSession, near)
+    drop(texts.sparkSession, of)
+    drop(texts.sparkSession, near)
     return linked
 
 
@@ -179,7 +185,8 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     drop(spark, ranked)
     pair = [F.least("u", "hub").alias("u"), F.greatest("u", "hub").alias("v")]
     tested = cut(members.where("u <> hub").select(*pair).distinct())
-    links = _verified(tested, nodes, docs, similarity)
+    texts = _texts(members, nodes, docs)
+    links = _verified(tested, nodes, texts, similarity)
     labels = cut(component_labels(links))
     rest, takes = members.where("u <> hub").drop("hub"), 16
     while True:
@@ -198,12 +205,13 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
         pairs = of.join(heads, met).select(F.least("u", "head").alias("u"), F.greatest("u", "head").alias("v")).distinct()
         pairs = cut(pairs.join(tested, ["u", "v"], "left_anti"))
         tested = tested.unionByName(pairs)
-        linked = _verified(pairs, nodes, docs, similarity)
+        linked = _verified(pairs, nodes, texts, similarity)
         if not linked.isEmpty():
             links = links.unionByName(linked)
             labels = cut(component_labels(links))
         rest = cut(of.join(heads.select("bucket", F.col("head").alias("u")), ["bucket", "u"], "left_anti").select("bucket", "u", "met"))
         takes *= 16
+    drop(spark, texts)
     named = nodes.join(labels, "u", "left").select(
         "c1", "c2", F.coalesce("label", "u").alias("label"), place.alias("node_at"))
     sizes = sketched.groupBy("c1", "c2").agg(F.count(F.lit(1)).alias("n"))
