@@ -150,7 +150,7 @@ def pack(docs: DataFrame, tokenizer_path: str, size: int = WINDOW, end_id: int =
 
         yield from _packed(items(), size, TaskContext.get().partitionId())
 
-    def again(key, batch: pd.DataFrame) -> pd.DataFrame:
+    def again(key: tuple, batch: pd.DataFrame) -> pd.DataFrame:
         def items():
             batch.sort_values(["grp", "offset"], inplace=True)
             for _, window in batch.groupby("grp", sort=True):
