@@ -10,7 +10,7 @@ import xxhash
 #: Words of one shingle.
 SHINGLE = 5
 #: Words remembered per worker.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 300_000
 _WORD = re.compile(r"\w+")
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
