@@ -5,6 +5,7 @@ from __future__ import annotations
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -77,6 +78,13 @@ def decode_table(lengths: np.ndarray) -> np.ndarray:
     return table
 
 
+@lru_cache(maxsize=2)
+def _table_of(lengths: bytes) -> np.ndarray:
+    """One decoding table per worker process."""
+    found = np.frombuffer(lengths, dtype=np.uint8)
+    return decode_table(found) if found.any() else np.zeros(2, np.uint32)
+
+
 def encode_block(doc_ids: list[int | None], docs: list[np.ndarray], lengths: np.ndarray, codes: np.ndarray) -> bytes:
     """One block: head, documents (id, known, ids), bit offset of every STRIDE-th id, bits."""
     ids = np.concatenate(docs)
@@ -117,15 +125,15 @@ def decode_blocks(payloads: list[bytes], table: np.ndarray) -> list[tuple[np.nda
         bits.append(data)
         base += len(data)
         heads.append((directory, stride, n_ids))
-    data = np.concatenate([*bits, np.zeros(4, dtype=np.uint8)]).astype(np.uint32)
+    data = np.concatenate([*bits, np.zeros(4 * STRIDE + 4, dtype=np.uint8)]).astype(np.uint32)
     view = data[:-3] << np.uint32(24) | data[1:-2] << np.uint32(16) | data[2:-1] << np.uint32(8) | data[3:]
     at, left = np.concatenate(lanes), np.concatenate(counts)
+    # A short stretch runs on into what follows; the padding above holds the longest run, and what it reads is cut off below.
     out = np.zeros((int(left.max(initial=0)), len(at)), dtype=np.uint32)
     for step in range(len(out)):
-        seen = view[at >> 3] << (at & 7).astype(np.uint32) >> width
-        hit = table[seen]
-        out[step] = hit >> np.uint32(5)
-        at = np.where(left > step, at + (hit & np.uint32(31)), at) if step >= left.min() else at + (hit & np.uint32(31))
+        hit = table[view[at >> 3] << (at & 7).astype(np.uint32) >> width]
+        np.right_shift(hit, np.uint32(5), out=out[step])
+        at += hit & np.uint32(31)
     out, done, lane = out.T, [], 0
     for directory, stride, n_ids in heads:
         n = -(-n_ids // stride)
@@ -193,14 +201,13 @@ def write_ids(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, max_
     made = cut(tokenize(docs, tokenizer_path, end_id))
     lengths = code_lengths(global_counts(made), max_bits)
     code = spark.createDataFrame([(-1, 0, 0, lengths.tobytes())], _STORED)
-    shared = spark.sparkContext.broadcast(lengths)
+    shared = spark.sparkContext.broadcast((lengths, canonical(lengths)))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import zstandard
         from pyspark import TaskContext
 
-        lengths, unpack, part, block = shared.value, zstandard.ZstdDecompressor(), TaskContext.get().partitionId(), 0
-        codes = canonical(lengths)
+        (lengths, codes), unpack, part, block = shared.value, zstandard.ZstdDecompressor(), TaskContext.get().partitionId(), 0
         names, lists, held = [], [], 0
         for batch in batches:
             rows = []
@@ -218,7 +225,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, max_
         if lists:
             yield pd.DataFrame([(part, block, held, encode_block(names, lists, lengths, codes))], columns=["part", "block", "n_ids", "payload"])
 
-    parts = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")) * 4, -(-made.count() // 1024)))
+    parts = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-made.count() // 1024)))
     rows = made.where("counts is null").select("doc_id", "tie", "n", "ids")
     ordered = rows.repartitionByRange(parts, F.col("doc_id").asc_nulls_first(), "tie").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "tie")
     code.coalesce(1).write.parquet(path)
@@ -239,7 +246,7 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
     shared = spark.sparkContext.broadcast(np.frombuffer(bytes(raw), dtype=np.uint8))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        table = decode_table(shared.value) if shared.value.any() else np.zeros(2, np.uint32)
+        table = _table_of(shared.value.tobytes())
         for batch in batches:
             for at in range(0, len(batch), 16):
                 some = batch.iloc[at:at + 16]
