@@ -116,13 +116,14 @@ def train(labelled: DataFrame, train_rows: int = TRAIN_ROWS, landmarks: int = LA
     """
     rows = labelled.where("lang is not null and text is not null").select("lang", "text", F.xxhash64("text").alias("h"))
     rows = rows.where(F.col("text").rlike(r"\p{L}"))
-    # Hot languages are thinned by hash before they are ranked: a few times the share is enough.
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    # Copies share a hash, so they are counted once here and joined below, where few texts are left to move.
+    counts = {r["lang"]: r["count"] for r in rows.select("lang", "h").distinct().groupBy("lang").count().collect()}
     if not counts:
         return fit([])
     share = max(1, train_rows // len(counts))
     least = F.coalesce(*[F.when(F.col("lang") == lang, F.lit(min(1.0, (20 * share + 200) / n))) for lang, n in sorted(counts.items())])
-    some = rows.where(F.pmod("h", F.lit(1 << 20)) < least * (1 << 20))
+    # Hot languages are thinned by hash before they are ranked: a few times the share is enough.
+    some = rows.where(F.pmod("h", F.lit(1 << 20)) < least * (1 << 20)).distinct()
     by = Window.partitionBy("lang").orderBy("h", "text")
     some = some.withColumn("k", F.row_number().over(by)).where(F.col("k") <= share)
 

@@ -400,6 +400,17 @@ def test_language_of_odd_rows(make):
     assert language.predict(make([]), model).count() == 0
 
 
+def test_copies_of_a_text_count_once(make):
+    """One text copied more often than the share, first in hash order, and a language of two texts with thousands of copies."""
+    rng = random.Random(8)
+    texts = [" ".join("".join(rng.choices("abcdefgh", k=5)) for _ in range(6)) for _ in range(40)]
+    first = make(list(enumerate(texts))).orderBy(F.xxhash64("text")).first()["text"]
+    rows = [("aa", t) for t in texts] + [("aa", first)] * 30 + [("zz", t) for t in ("zyx wvu zyx", "uvw xyz")] * 3000
+    model = language.train(make(rows, "lang string, text string"), train_rows=20, landmarks=20)
+    assert model.languages == ["aa", "zz"]
+    assert len(model.landmarks) == len(np.unique(model.landmarks, axis=0)) == 10 + 2
+
+
 def test_kernel_is_the_presence_kernel():
     a, b = language.presence("Hallo, Welt!"), language.presence("hallo... welten")
     model = language.fit([("x", a), ("y", b)])
