@@ -37,9 +37,9 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cut later repeated runs of lines; documents that consisted of such runs go. `n_chars` follows the text."""
+    """Cut later repeated runs of lines; documents without a word left of such runs go. `n_chars` follows the text."""
     rows = lines.dedup_lines(docs)
-    left = rows.where((F.col("lines_removed") == 0) | (F.trim(F.col("text")) != ""))
+    left = rows.where((F.col("lines_removed") == 0) | (F.col("text").rlike(r"[^ \t\r\f\n]")))
     replaced = {"text": F.col("text")}
     if "n_chars" in docs.columns:
         length = F.when(F.col("lines_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType))

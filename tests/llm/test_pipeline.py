@@ -94,3 +94,11 @@ def test_run_and_odd_rows(spark, stages):
     kept = corpus_pipeline.dedup_near(spark, odd, SF).collect()
     assert sorted((r["doc_id"] is not None, r["doc_id"] or 0) for r in kept) == [(False, 0), (True, 2)]
     assert re.fullmatch(r"w.*", kept[0]["text"] or "w")
+
+
+def test_lines_that_leave_blank_lines_only(spark):
+    """A repeated document of paragraphs parted by blank lines goes, whatever the blank lines hold; what had no words before stays."""
+    parts = [prose(i, 60) for i in range(4)]
+    docs = [(1, "\n\n".join(parts)), (2, "\n\n".join(parts[:3])), (3, "\n \t\r\n".join(parts)), (4, "\n\n"), (5, parts[0] + "\n\nmore")]
+    odd = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in docs], DOCS)
+    assert sorted(rows(corpus_pipeline.dedup_lines(spark, odd, SF))) == [docs[0], docs[3], (5, "\nmore")]
