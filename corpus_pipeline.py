@@ -14,9 +14,6 @@ from flowboard.llm.common import cut, hash_pair, on_workers
 from flowboard.llm.registry import table, tokenizer_path
 from flowboard.session import prepare
 
-#: A document whose language takes less than this share of the positive outputs is rejected, as is one without letters.
-LEAST_SCORE = 0.3
-
 
 def _kept(rows: DataFrame, docs: DataFrame, **replaced) -> DataFrame:
     """The columns of `docs` out of `row`, with some replaced."""
@@ -29,11 +26,16 @@ def _keys() -> list:
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents without letters or without a clear language. The model is fitted on `docs` itself (its fixed bounds apply)."""
+    """Drop documents without letters or with no output above 0, which speaks against every language.
+
+    The model is fitted on `docs` itself (its fixed bounds apply). Where no row has a language, all pass.
+    """
     on_workers(spark)
     model = language.train(language.learnable(docs))
+    if not model.languages:
+        return docs
     rows = language.predict(docs, model)
-    return _kept(rows.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_SCORE)), docs)
+    return _kept(rows.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") > 0)), docs)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

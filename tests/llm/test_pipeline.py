@@ -1,5 +1,6 @@
 """The pipeline, stage by stage, against what each operator reports on the same rows."""
 
+import random
 import re
 
 import pytest
@@ -102,3 +103,21 @@ def test_lines_that_leave_blank_lines_only(spark):
     docs = [(1, "\n\n".join(parts)), (2, "\n\n".join(parts[:3])), (3, "\n \t\r\n".join(parts)), (4, "\n\n"), (5, parts[0] + "\n\nmore")]
     odd = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in docs], DOCS)
     assert sorted(rows(corpus_pipeline.dedup_lines(spark, odd, SF))) == [docs[0], docs[3], (5, "\nmore")]
+
+
+def test_language_loses_no_clean_document(stages):
+    before, after = stages[0]
+    assert sorted(r["doc_id"] for r in after.collect()) == sorted(r["doc_id"] for r in before.where(F.col("text").rlike(r"\p{L}")).collect())
+
+
+def test_language_of_many_or_no_languages(spark):
+    """Clean texts stay among sixteen languages alike in all but one word in six; without labels every row stays."""
+    rng, names, docs = random.Random(2), "abcdefghijklmnop", []
+    for i in range(640):
+        own = [c * 2 + s for c in names[i % 16] for s in ("ka", "lo", "mi")]
+        docs.append((i, " ".join(rng.choice(own if rng.random() < 1 / 6 else ["the", "rest", "is", "shared", "by", "all"]) for _ in range(1 + i % 12)), names[i % 16], "s", 0))
+    odd = [(1000, "12 ...", None, "s", 0), (1001, None, None, "s", 0)]
+    got = corpus_pipeline.identify_language(spark, spark.createDataFrame(docs + odd, DOCS), SF)
+    assert sorted(rows(got)) == sorted((d, t) for d, t, *_ in docs)
+    blank = [(d, t, None, s, n) for d, t, _, s, n in docs + odd]
+    assert corpus_pipeline.identify_language(spark, spark.createDataFrame(blank, DOCS), SF).count() == len(blank)
