@@ -21,6 +21,8 @@ BLOCKS = 4
 PASS_ITEMS, PASS_CHARS = 4096, 16_000_000
 #: Window sizes grow by this factor; an item is searched by its middle part of the next smaller size.
 GROWTH = 1.25
+#: Pairs of a shingle's place and an item looked at together.
+_PAIRS = 1 << 20
 #: Words handled at once: windows of many short documents are computed together.
 _AT_ONCE = 1 << 15
 _ONES = np.uint64(0x0101010101010101)
@@ -115,7 +117,7 @@ class HammingIndex:
 class Items:
     """One pass's benchmark items, ready to be searched for."""
 
-    def __init__(self, items: list[tuple[int, str]], radius: int = RADIUS):
+    def __init__(self, items: list[tuple[int, str]], radius: int = RADIUS, similarity: float = SIMILARITY):
         from flowboard.llm.words import SHINGLE, shingles, word_hashes
 
         self.ids, self.lists, self.counts = [], [], []
@@ -128,6 +130,10 @@ class Items:
                 self.counts.append(Counter(self.lists[-1].tolist()))
                 ks.append(min(SHINGLE, len(words)))
         self.radius, self.by_k = radius, {}
+        self.sizes = np.array([len(x) for x in self.lists], dtype=np.int64)
+        #: Of each item: its shingles in order with their counts, and what its fingerprint was made of.
+        self.sorted = [np.unique(x, return_counts=True) for x in self.lists]
+        self.prints: dict[int, tuple[int, int, np.uint64]] = {}
         for k in set(ks):
             own = [i for i, x in enumerate(ks) if x == k]
             longest = max(len(self.lists[i]) for i in own)
@@ -142,12 +148,31 @@ class Items:
                     skips = [(len(self.lists[i]) - size) // 2 for i in some]
                     prints = np.array([Totals(self.lists[i][s:s + size], size).simhash(size)[0] for i, s in zip(some, skips)], dtype=np.uint64)
                     index.append((size, np.array(some), np.array(skips), HammingIndex(prints, radius)))
+                    self.prints.update({i: (size, s, f) for i, s, f in zip(some, skips, prints)})
             # Low bits of all shingles in any item: an upper bound on what a window can share with one.
             known = np.zeros(1 << 20, dtype=bool)
             for i in own:
                 known[(self.lists[i] & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
             whole = np.array([Totals(self.lists[i], len(self.lists[i])).simhash(len(self.lists[i]))[0] for i in own], dtype=np.uint64)
-            self.by_k[k] = (longest, index, known, np.array(own), whole, np.array([len(self.lists[i]) for i in own]))
+            self.by_k[k] = (longest, index, known, np.array(own), whole, np.array([len(self.lists[i]) for i in own]), self._rare(own, similarity))
+
+    def _rare(self, own: list[int], similarity: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Shingles without which no text is similar to an item: (shingles in order, where each one's items begin, items, low bits).
+
+        What is similar to an item of n shingles shares `similarity` * n of them at least, by count, so it holds one of any n + 1
+        less that many. Those in the fewest items are taken.
+        """
+        held = Counter(x for i in own for x in self.sorted[i][0].tolist())
+        pairs = set()
+        for i in own:
+            n = len(self.lists[i])
+            rarest = sorted(self.lists[i].tolist(), key=lambda x: (held[x], x))[:n - int(np.ceil(similarity * n - 1e-9)) + 1]
+            pairs.update((x, i) for x in rarest)
+        ordered = sorted(pairs)
+        keys, begins = np.unique(np.array([x for x, _ in ordered], dtype=np.uint64), return_index=True)
+        low = np.zeros(1 << 20, dtype=bool)
+        low[(keys & np.uint64(len(low) - 1)).astype(np.int64)] = True
+        return keys, np.append(begins, len(ordered)), np.array([i for _, i in ordered], dtype=np.int64), low
 
 
 def _similarity(window: Counter, item: Counter) -> float:
@@ -172,6 +197,47 @@ def _best(hashes: np.ndarray, starts: range, size: int, item: Counter) -> tuple[
     return best, where
 
 
+def _overlaps(hashes: np.ndarray, size: int, keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """How many shingles every window of `size` shares with an item, by count.
+
+    A place counts in the windows that hold it and fewer places of the same shingle before it than the item has.
+    """
+    which = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
+    at = np.flatnonzero(keys[which] == hashes)
+    at = at[np.argsort(which[at], kind="stable")]
+    which = which[at]
+    back = np.arange(len(at)) - counts[which]
+    full = (back >= 0) & (which[np.maximum(back, 0)] == which)
+    since = np.maximum(np.where(full, at[np.maximum(back, 0)] + 1, 0), at - size + 1)
+    change = np.bincount(since, minlength=len(hashes) + 1) - np.bincount(at + 1, minlength=len(hashes) + 1)
+    return np.cumsum(change)[:len(hashes) - size + 1]
+
+
+def _sharing(hashes: np.ndarray, begins: np.ndarray, ends: np.ndarray, shared: np.ndarray, rare: tuple, items: Items, similarity: float) -> Iterator[tuple[int, int, int, int]]:
+    """(text, item, first, last place) around shingles from `rare`, in texts that hold enough known ones there; misses none."""
+    keys, starts, members, low_bits = rare
+    places = np.flatnonzero(low_bits[(hashes & np.uint64(len(low_bits) - 1)).astype(np.int64)])
+    which = np.minimum(np.searchsorted(keys, hashes[places]), len(keys) - 1)
+    hit = keys[which] == hashes[places]
+    places, which = places[hit], which[hit]
+    many = starts[which + 1] - starts[which]
+    for part in np.split(np.arange(len(places)), np.flatnonzero(np.diff(np.cumsum(many) // _PAIRS)) + 1):
+        n_items = many[part]
+        item = members[np.repeat(starts[which[part]] - np.cumsum(n_items) + n_items, n_items) + np.arange(n_items.sum())]
+        at = np.repeat(places[part], n_items)
+        text, n = np.searchsorted(ends, at, side="right"), items.sizes[item]
+        low, high = np.maximum(at - n + 1, begins[text]), np.minimum(at + n, ends[text])
+        likely = shared[high] - shared[low] >= np.ceil(similarity * n - 1e-9)
+        at, text, item, n = at[likely], text[likely], item[likely], n[likely]
+        order = np.lexsort((at, item, text))
+        at, text, item, n = at[order], text[order], item[order], n[order]
+        opens = np.ones(len(at), dtype=bool)
+        opens[1:] = (np.diff(text) != 0) | (np.diff(item) != 0) | (np.diff(at) >= n[1:])
+        first = np.flatnonzero(opens)
+        last = np.append(first[1:], len(at)) - 1
+        yield from zip(text[first].tolist(), item[first].tolist(), at[first].tolist(), at[last[:len(first)]].tolist())
+
+
 def search_texts(words: list[np.ndarray], items: Items, similarity: float) -> list[tuple[int, int, float, int, int, int]]:
     """(text, item, similarity, first word, words, bits apart) of every leak; the best window for each text and item."""
     from flowboard.llm.words import shingles
@@ -182,7 +248,7 @@ def search_texts(words: list[np.ndarray], items: Items, similarity: float) -> li
         if like >= similarity - 1e-12 and like > best.get((text, item), (0.0,))[0]:
             best[text, item] = (like, at, n, apart)
 
-    for k, (longest, index, known, own, whole, lengths) in items.by_k.items():
+    for k, (longest, index, known, own, whole, lengths, rare) in items.by_k.items():
         kept = [(i, shingles(w, k)) for i, w in enumerate(words) if len(w) >= k]
         if not kept:
             continue
@@ -210,6 +276,21 @@ def search_texts(words: list[np.ndarray], items: Items, similarity: float) -> li
                 if low <= high:
                     like, where = _best(hashes, range(low, high + 1), n, items.counts[i])
                     keep(kept[t][0], i, like, where - int(begins[t]), n + k - 1, a)
+        # What lies further than the radius: every window around a shingle that no similar text is without.
+        for t, i, first, last in _sharing(hashes, begins, ends, shared, rare, items, similarity):
+            n, begin, end = len(items.lists[i]), int(begins[t]), int(ends[t])
+            if end - begin < n:
+                like, where, length = _similarity(Counter(hashes[begin:end].tolist()), items.counts[i]), begin, end - begin
+                size, skip, mark = end - begin, 0, whole[np.searchsorted(own, i)]
+            else:
+                low = max(begin, min(first - n + 1, end - n))
+                both = _overlaps(hashes[low:min(end, last + n)], n, *items.sorted[i])
+                most = int(both.max())
+                like, where, length = most / (2 * n - most), low + int(both.argmax()), n
+                size, skip, mark = items.prints[i]
+            if like >= similarity - 1e-12:
+                apart = np.bitwise_count(Totals(hashes[where + skip:where + skip + size], size).simhash(size)[0] ^ mark)
+                keep(kept[t][0], i, like, where - begin, length + k - 1, int(apart))
         # Texts shorter than an item, taken whole.
         for t in np.flatnonzero(sizes < lengths.max()):
             own_hashes = kept[t][1]
@@ -260,7 +341,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILA
     on a scale that grows by GROWTH, and stand for the item's middle part of that length. A multi-index of the
     items' fingerprints finds all windows within `radius` bits. Around each, windows of the
     item's full length are compared exactly (weighted Jaccard similarity of shingles); the best for each document and item is reported if
-    it reaches `similarity`. A text shorter than an item is compared as a whole.
+    it reaches `similarity`. A text shorter than an item is compared as a whole. SimHash misses some that reach it, so windows
+    and short texts that hold one of the item's rarest shingles (as many as no similar one can be without) are compared too:
+    none is missed, and `bits_apart` may exceed `radius`.
 
     Items of less than five words are one shingle of all their words, so only their exact words match. Items
     without words and null texts never match. Rows with the same doc_id and text give one result each. Items
@@ -276,7 +359,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILA
         def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
             from flowboard.llm.words import word_hashes
 
-            items = Items(shared.value, radius)
+            items = Items(shared.value, radius, similarity)
             for batch in batches:
                 rows, names, words, held = [], [], [], 0
 

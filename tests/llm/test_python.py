@@ -341,6 +341,25 @@ def test_leaks_equal_brute_force(make):
     assert leaks.find_leaks(make(docs), make([], "item_id bigint, text string")).count() == 0
 
 
+def test_leaks_beyond_the_radius(make):
+    """Edits in an item's middle part, and a shingle repeated ten times that is replaced: similar enough, yet far by SimHash."""
+    rng = random.Random(9)
+    items, docs = [], []
+    for i in range(60):
+        said = prose(1000 + i, 60 if i % 2 else 50 + i % 5).split() + (["again"] * 14 + prose(4000 + i, 60).split() if i % 2 else [])
+        items.append((i, " ".join(said)))
+        if i % 2:
+            said[64:74] = [f"new{i}x{j}" for j in range(10)]
+        else:
+            said[len(said) // 2] = f"new{i}"
+        before = prose(2000 + i, rng.choice([0, 9, 200])).split()
+        docs.append((i, " ".join(before + said[:-2 if i % 6 == 0 else None] + (prose(3000 + i, 50).split() if before else []))))
+    want = brute_leaks(docs, items)
+    assert len(want) == 50
+    got = leaks.find_leaks(make(docs), make(items, "item_id bigint, text string")).collect()
+    assert {(r["doc_id"], r["item_id"]): pytest.approx(r["similarity"], abs=1e-12) for r in got} == want
+
+
 def test_hamming_index_misses_none():
     rng = np.random.default_rng(0)
     items = rng.integers(0, 2**63, 64).astype(np.uint64)
