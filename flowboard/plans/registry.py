@@ -27,7 +27,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
 def query(fn):
-    QUERIES[fn.__name__] = lambda spark, sf_dir: fn(prepare(spark), sf_dir)
+    QUERIES[fn.__name__] = lambda spark, sf_dir, **args: fn(prepare(spark), sf_dir, **args)
     return fn
 
 
@@ -456,8 +456,9 @@ def leaderboard_filtered(spark, sf):
 
 
 @query
-def leaderboard_top_n(spark, sf):
-    one_run = _board(spark, sf).filter(F.col("run_id") == "run-0")
+def leaderboard_top_n(spark, sf, run_id="run-0"):
+    """The first five of one run; the SQL twin shows the run that stands if none is named."""
+    one_run = _board(spark, sf).filter(F.col("run_id") == run_id)
     return board.board_filter(one_run, limit=5).select("rank", *KEYS, "composite")
 
 

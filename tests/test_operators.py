@@ -10,6 +10,7 @@ from flowboard.functions import hdr, scoring, text
 from flowboard.functions.timeline import SECOND
 from flowboard.operators import board, fleet, histograms, ingest, intervals, lifecycle, tables, windows
 from flowboard.operators.scan import prefix_scan
+from flowboard.plans import registry
 from flowboard.sources import envelopes
 
 
@@ -412,3 +413,14 @@ def test_corrected_histogram_equals_back_filled_samples(spark):
     stall = spark.createDataFrame([(1, 1 << 40)], "k int, v bigint")
     total = histograms.build_corrected(stall, ["k"], "v", F.lit(1)).agg(F.sum("n")).first()[0]
     assert total == 1 << 40
+
+
+def test_top_n_of_any_run(spark, sf, monkeypatch):
+    boards = spark.createDataFrame([(i + 1, f"run-{r}", f"s{i}", f"c{i}", 90.0 - i) for r in range(3) for i in range(7)],
+                                   "rank int, run_id string, submission_id string, contestant_id string, composite double")
+    monkeypatch.setattr(registry, "KEYS", ["run_id", "submission_id", "contestant_id"])
+    monkeypatch.setattr(registry, "_board", lambda spark, sf: boards)
+    top = registry.QUERIES["leaderboard_top_n"]
+    for run, args in (("run-0", {}), ("run-2", {"run_id": "run-2"})):
+        assert [(r["run_id"], r["rank"]) for r in top(spark, sf, **args).collect()] == [(run, i) for i in range(1, 6)]
+    assert top(spark, sf, run_id="none").count() == 0
