@@ -702,6 +702,15 @@ def _drain(spark, run):
     return out
 
 
+def _drain_batches(spark, batches, run):
+    """Run a job over micro-batches, one at a time, each with all its partitions; returns the folder it wrote."""
+    path, out, progress = new_path(spark, "source"), new_path(spark, "stream"), new_path(spark, "progress")
+    for batch in batches:
+        batch.write.mode("append").parquet(path)
+        run(jobs.file_source(spark, path, batch.schema, "parquet"), out, progress).awaitTermination()
+    return out
+
+
 def _order_batches(spark, events, n):
     """Order events as a stream of n micro-batches in stream order."""
     bounds = events.agg(F.percentile_approx("pos", [i / n for i in range(1, n)])).first()[0]
@@ -753,11 +762,7 @@ def stream_dedupe_late(spark, sf):
     events = views.table(spark, sf, "events")
     turn = F.pmod(-F.col("event_id"), F.lit(4))
     twice = events.withColumn("turn", F.explode(F.array(turn, (turn + 1) % 4)))
-    path = new_path(spark, "source")
-    for i in range(4):
-        twice.where(F.col("turn") == i).coalesce(1).write.mode("append").parquet(path)
-    source = jobs.file_source(spark, path, twice.schema, "parquet", maxFilesPerTrigger="1")
-    out = _drain(spark, lambda o, c: jobs.dedupe(source, ["event_id"], o, c))
+    out = _drain_batches(spark, [twice.where(F.col("turn") == i) for i in range(4)], lambda source, o, c: jobs.dedupe(source, ["event_id"], o, c))
     return spark.read.parquet(out).select(*_EVENT)
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from flowboard import schemas
 from flowboard.functions.timeline import HOUR
 from flowboard.operators import rules, tables, windows
-from flowboard.plans import views
+from flowboard.plans import registry, views
 from flowboard.plans.registry import QUERIES
 from flowboard.sources import envelopes
 from flowboard.streaming import jobs
@@ -120,3 +120,14 @@ def test_verdicts_over_batches(spark, tmp_path):
         assert json.loads(r.violations_by_rule) == want.by_rule
         back = rules.verdict_from_json(spark.createDataFrame([(r.violations_by_rule, r.recent_findings)], "violations_by_rule string, recent_findings string")).first()
         assert [tuple(x) for x in back.recent_findings] == want.findings[-25:]
+
+
+def test_micro_batches_keep_their_partitions(spark, sf, monkeypatch):
+    """Each micro-batch of `stream_dedupe_late` is as many files as it has partitions."""
+    events, made, new_path = views.table(spark, sf, "events").repartition(5), {}, registry.new_path
+    monkeypatch.setattr(registry.views, "table", lambda *_: events)
+    monkeypatch.setattr(registry, "new_path", lambda spark, kind: made.setdefault(kind, new_path(spark, kind)))
+    got = QUERIES["stream_dedupe_late"](spark, sf)
+    assert rows(got) == rows(events.select(*got.columns))
+    files = spark.read.parquet(made["source"]).select(F.input_file_name().alias("f"), "turn").distinct().groupBy("turn").count().collect()
+    assert {r["turn"]: r["count"] for r in files} == {i: 5 for i in range(4)}
