@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowboard.llm import chat, huffman, language, leaks, lines, minhash, packing, shards, sketch, urls
+from flowboard.llm import anchors, chat, huffman, language, leaks, lines, minhash, packing, shards, sketch, urls, whitening
 from flowboard.llm.common import cut, new_path, on_workers
 from flowboard.llm.sql import SQL
 from flowboard.session import prepare
@@ -97,3 +97,16 @@ def op9_chat_formatting(spark, sf):
 @query
 def op10_packing(spark, sf):
     return packing.pack(table(spark, sf, "documents"), tokenizer_path())
+
+
+@query
+def op11_embedding_whitening(spark, sf):
+    rows = whitening.whiten(table(spark, sf, "embeddings"))
+    each = rows.select(F.col("row.vec_id").alias("vec_id"), "n", "deviation", "identity_error", F.posexplode(F.arrays_zip("whitened", "explained")).alias("i", "c"))
+    return each.select("vec_id", (F.col("i") + 1).cast("int").alias("component"), "n", "deviation", "c.whitened", "c.explained", "identity_error")
+
+
+@query
+def op13_substring_dedup(spark, sf):
+    return anchors.dedup_substrings(table(spark, sf, "documents")).select(
+        "doc_id", "n_words", "n_removed", F.sha2(F.encode("text", "UTF-8"), 256).alias("kept_sha256"))

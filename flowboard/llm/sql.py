@@ -1,6 +1,6 @@
 """SQL twins (DuckDB) of the queries that SQL can express.
 
-The others have none: their results need a tokenizer (op8, op10), a trained model (op5), hashes
+The others have none: their results need a tokenizer (op8, op10, op12), a trained model (op5), an eigenvalue solver (op11), hashes
 that DuckDB lacks (op4), or rest on signatures (op1, op7). Those are tested against plain Python.
 """
 
@@ -133,9 +133,25 @@ from whole
 """
 
 
+REPEATS = r"""
+with parts as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+windows as (select doc_id, s, hash(list_slice(w, s, s + 19)) as h, array_to_string(list_slice(w, s, s + 19), ' ') as content
+  from (select doc_id, w, unnest(range(1, len(w) - 18)) as s from parts where len(w) >= 20)),
+later as (select doc_id, s from (
+  select doc_id, s, row_number() over (partition by h, content order by doc_id, s) as k from windows) where k > 1),
+gone as (select distinct doc_id, unnest(range(s, s + 20)) as pos from later),
+every as (select doc_id, unnest(w) as word, generate_subscripts(w, 1) as pos from parts),
+kept as (
+  select e.doc_id, count(*) as n, count(g.pos) as removed, string_agg(e.word, ' ' order by e.pos) filter (g.pos is null) as text
+  from every e left join gone g on g.doc_id = e.doc_id and g.pos = e.pos group by e.doc_id)
+select doc_id, coalesce(n, 0)::bigint as n_words, coalesce(removed, 0)::bigint as n_removed, sha256(coalesce(k.text, '')) as kept_sha256
+from documents d left join kept k using (doc_id)
+"""
+
 SQL: dict[str, str] = {
     "op2_line_dedup": LINES,
     "op3_url_filter": _urls(),
     "op6_sharding": _shards(),
     "op9_chat_formatting": _chats(),
+    "op13_substring_dedup": REPEATS,
 }
