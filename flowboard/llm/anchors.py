@@ -25,7 +25,9 @@ _MASK = "parcel bigint, radix int, mask binary"
 def _parcels(docs: DataFrame, parcel_words: int) -> DataFrame:
     """Documents as parcels: keys and word counts, the different words, and one code a word. Parcels carry their number."""
     t1, _ = hash_pair(F.coalesce(F.col("text"), F.lit("")))
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), t1.alias("t1"))
+    # Ids without nulls: pandas would make others floats.
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(0)).alias("doc_id"), F.col("doc_id").isNotNull().alias("known"),
+                       F.coalesce(F.col("text"), F.lit("")).alias("text"), t1.alias("t1"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import zstandard
@@ -46,13 +48,13 @@ def _parcels(docs: DataFrame, parcel_words: int) -> DataFrame:
                                  "codes": [pack(np.concatenate(codes))]})
 
         for batch in batches:
-            for doc, text, t1, number in zip(batch["doc_id"], batch["text"], batch["t1"], batch["number"]):
+            for doc, known, text, t1, number in zip(batch["doc_id"], batch["known"], batch["text"], batch["t1"], batch["number"]):
                 if parcel is None:
                     parcel = number
                 # Bytes split at exactly the six white-space characters of ASCII.
                 found = text.encode("utf-8", "surrogatepass").split()
                 codes.append(np.array(list(map(words.__getitem__, found)), dtype="<u4"))
-                keys.append((not pd.isna(doc), 0 if pd.isna(doc) else int(doc), t1, len(found)))
+                keys.append((known, doc, t1, len(found)))
                 held += len(found)
                 if held >= parcel_words or len(keys) >= 100_000:
                     yield row()
@@ -286,9 +288,9 @@ def dedup_substrings(docs: DataFrame, words: int = WORDS, parcel_words: int = PA
             for i, (s, e) in enumerate(zip(own.begins.tolist(), own.ends.tolist())):
                 kept = b" ".join([own.words[c] for c in own.codes[s:e][~gone[s:e]].tolist()]).decode("utf-8", "surrogatepass")
                 spans = [{"first": int(x - s), "words": int(y - x + 1)} for x, y in zip(opens[lo[i]:hi[i]], closes[lo[i]:hi[i]])]
-                out.append((int(own.ids[i]) if own.known[i] else None, int(own.t1[i]), e - s, int(gone[s:e].sum()), kept, spans))
-        frame = pd.DataFrame(out, columns=["doc_id", "t1", "n_words", "n_removed", "text", "repeats"])
-        return frame.astype({"doc_id": "Int64"})
+                out.append((int(own.ids[i]), bool(own.known[i]), int(own.t1[i]), e - s, int(gone[s:e].sum()), kept, spans))
+        return pd.DataFrame(out, columns=["doc_id", "known", "t1", "n_words", "n_removed", "text", "repeats"])
 
-    schema = "doc_id bigint, t1 bigint, n_words bigint, n_removed bigint, text string, repeats array<struct<first: bigint, words: bigint>>"
-    return parcels.groupBy("parcel").cogroup(masks.groupBy("parcel")).applyInPandas(remove, schema)
+    schema = "doc_id bigint, known boolean, t1 bigint, n_words bigint, n_removed bigint, text string, repeats array<struct<first: bigint, words: bigint>>"
+    rows = parcels.groupBy("parcel").cogroup(masks.groupBy("parcel")).applyInPandas(remove, schema)
+    return rows.withColumn("doc_id", F.when(F.col("known"), F.col("doc_id"))).drop("known")

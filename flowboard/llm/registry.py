@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowboard.llm import anchors, chat, huffman, language, leaks, lines, minhash, packing, shards, sketch, urls, whitening
+from flowboard.llm import alignment, anchors, chat, huffman, language, leaks, lines, minhash, packing, shards, sketch, urls, whitening
 from flowboard.llm.common import cut, new_path, on_workers
 from flowboard.llm.sql import SQL
 from flowboard.session import prepare
@@ -21,13 +21,13 @@ SHARDS = 24
 CONTROL_CHAT = (-7, ("user", "assistant"), "</s>[INST] ok [/INST]")
 
 
-TOKENIZER = "byte_bpe_50k.json"
+TOKENIZER, SECOND_TOKENIZER = "byte_bpe_50k.json", "piece_bpe_32k.model"
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = TOKENIZER) -> str:
     import public_tokenizers
 
-    return public_tokenizers.path(TOKENIZER)
+    return public_tokenizers.path(name)
 
 
 def query(fn):
@@ -106,6 +106,12 @@ def op11_embedding_whitening(spark, sf):
     return each.select("vec_id", (F.col("i") + 1).cast("int").alias("component"), "n", "deviation", "c.whitened", "c.explained", "identity_error")
 
 
+@query
+def op12_tokenizer_alignment(spark, sf):
+    rows = alignment.align(table(spark, sf, "documents"), tokenizer_path(), tokenizer_path(SECOND_TOKENIZER), texts=False)
+    return rows.drop("t1").withColumnRenamed("groups", "groups_sha256")
+
+
 @query
 def op13_substring_dedup(spark, sf):
     return anchors.dedup_substrings(table(spark, sf, "documents")).select(
