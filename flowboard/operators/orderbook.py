@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from flowboard.functions.timeline import epoch_of
 from flowboard.operators.scan import prefix_scan
-from flowboard.session import cut
+from flowboard.session import cut, discard
 
 KEYS = ["run_id", "submission_id"]
 # The distinct part first: sorts then compare on it and rarely reach the strings.
@@ -26,8 +26,11 @@ ORDER = ["oid"] + KEYS
 SEGMENT = ORDER + ["seg"]
 AT = ["pos"] + KEYS
 
-# Kinds of log rows, in the order they apply at one stream position.
+# Kinds of log rows, in the order they apply at one stream position. PRIOR holds what was known of an order before the events at hand.
 SUBMIT, ACK, CANCEL, MAKE, TAKE = range(5)
+PRIOR = -1
+# Submit positions of a PRIOR row: an intent that stands, and one whose open quantity a cancel has made forgotten.
+_STANDS, _FORGOTTEN, _NEVER_GONE = -1, -3, -2
 BUY, SELL = 1, -1
 
 
@@ -56,7 +59,7 @@ def order_log(events: DataFrame, chunk_rows: int) -> DataFrame:
     own = F.col("maker_order_id") == F.col("order_id")
 
     def rows(where, ev, oid, **cols):
-        spec = {"peer": "bigint", "side": "int", "limit": "boolean", "price": "double", "qty": "bigint",
+        spec = {"peer": "bigint", "side": "int", "limit": "boolean", "price": "double", "qty": "bigint", "said": "bigint",
                 "book_qty": "bigint", "take_qty": "bigint", "fill_price": "double", "remaining": "bigint"}
         return F.when(where, F.struct(
             F.lit(ev).alias("ev"), oid.alias("oid"), *[cols.get(c, null(t)).cast(t).alias(c) for c, t in spec.items()]))
@@ -65,7 +68,7 @@ def order_log(events: DataFrame, chunk_rows: int) -> DataFrame:
     parts = F.array(
         rows(F.col("type") == "order_submitted", SUBMIT, F.col("order_id"),
              side=F.when(F.col("side") == "sell", SELL).otherwise(BUY), limit=F.col("kind") == "limit",
-             price=F.col("price"), qty=F.col("quantity")),
+             price=F.col("price"), qty=F.col("quantity"), said=F.col("pos")),
         rows((F.col("type") == "order_ack") & F.col("accepted"), ACK, F.col("order_id")),
         rows(F.col("type") == "order_cancelled", CANCEL, F.col("order_id")),
         # A fill of an order against itself reduces it twice.
@@ -79,6 +82,22 @@ def order_log(events: DataFrame, chunk_rows: int) -> DataFrame:
     ).withColumn("ord", F.col("pos") * 8 + F.col("ev")).withColumn("chunk", epoch_of(F.col("pos"), chunk_rows))
 
 
+# What is kept of an order between batches: its intent, the quantity taken since, and what rests of it.
+STATE = ["side", "limit", "price", "qty", "said", "take_qty", "r_side", "r_price", "r_qty", "r_pos"]
+
+
+def _with_prior(log: DataFrame, prior: DataFrame | None) -> DataFrame:
+    """Rows of kind PRIOR, before all others of their order; they open a segment where the order rests."""
+    resting = {"r_side": "int", "r_price": "double", "r_qty": "bigint", "r_pos": "bigint"}
+    log = log.withColumns({c: F.lit(None).cast(t) for c, t in resting.items()})
+    if prior is None:
+        return log
+    at = {"pos": F.lit(-1).cast("bigint"), "ev": F.lit(PRIOR), "ord": F.lit(PRIOR - 8).cast("bigint"), "chunk": F.lit(0).cast("bigint")}
+    held = prior.select(*ORDER, *STATE)
+    return log.unionByName(held.select("*", *[v.alias(c) for c, v in at.items()]).select(*[
+        F.col(c) if c in (*held.columns, *at) else F.lit(None).cast(log.schema[c].dataType).alias(c) for c in log.columns]))
+
+
 def _scan(df: DataFrame, keys: list[str], specs: dict) -> DataFrame:
     return prefix_scan(df, keys, [F.col("ord")], F.col("chunk"), specs)
 
@@ -89,26 +108,23 @@ def _with_intent(log: DataFrame) -> DataFrame:
     A segment starts at every accepted ack of a limit order; segment 0 precedes
     the first one and holds rows of an order that does not rest yet.
     """
-    sub = F.col("ev") == SUBMIT
+    sub = F.col("ev").isin(SUBMIT, PRIOR)
+    took = F.coalesce("take_qty", F.lit(0))
     at_submit = lambda c: F.when(sub, F.col(c))
     df = _scan(log, ORDER, {
         "i_side": ("last", at_submit("side")), "i_limit": ("last", at_submit("limit")),
         "i_price": ("last", at_submit("price")), "i_qty": ("last", at_submit("qty")),
-        "i_pos": ("max", at_submit("pos")), "taken": ("sum", F.coalesce("take_qty", F.lit(0))),
+        "i_pos": ("last", at_submit("said")), "taken": ("sum", took),
     })
-    df = df.withColumn("opens", (F.col("ev") == ACK) & F.coalesce("i_limit", F.lit(False)))
-    return _scan(df, ORDER, {
-        "seg": ("count", F.when(F.col("opens"), 1)), "taken_at_submit": ("max", F.when(sub, F.col("taken"))),
+    prior = F.col("ev") == PRIOR
+    df = df.withColumn("opens", (F.col("ev") == ACK) & F.coalesce("i_limit", F.lit(False)) | prior & F.col("r_pos").isNotNull())
+    # What an opening row brings into the book.
+    df = df.withColumns({f"o_{c}": F.when(prior, F.col(f"r_{c}")).otherwise(F.col("pos" if c == "pos" else f"i_{c}")) for c in ("side", "price", "qty", "pos")})
+    return _scan(df.drop("r_side", "r_price", "r_qty", "r_pos"), ORDER, {
+        "seg": ("count", F.when(F.col("opens"), 1)), "taken_at_submit": ("last", F.when(sub, F.col("taken") - took)),
     })
 
 
-def _segment_heads(log: DataFrame) -> DataFrame:
-    """What rests in a segment: quantity, start and price of its opening ack."""
-    return log.filter("opens").select(
-        *SEGMENT, F.col("i_qty").alias("cap"), F.col("pos").alias("start"), F.col("i_side").alias("b_side"),
-        F.col("i_price").alias("b_price"), (F.col("i_qty") == 0).alias("b_empty"), F.lit(False).alias("carried"))
-
-
 def _resting(log: DataFrame, multi: DataFrame | None) -> DataFrame:
     """Add resting state before each row: `rests`, `left` (quantity), and whether the row ends the life.
 
@@ -119,8 +135,8 @@ def _resting(log: DataFrame, multi: DataFrame | None) -> DataFrame:
     df = log.withColumn("cut_qty", F.coalesce(effective, F.lit(0)))
     df = _scan(df, SEGMENT, {
         "used": ("sum", F.col("cut_qty")), "cancels": ("count", F.when(F.col("ev") == CANCEL, 1)),
-        "cap": ("last", F.when(F.col("opens"), F.col("i_qty"))), "start": ("last", F.when(F.col("opens"), F.col("pos"))),
-        "b_side": ("last", F.when(F.col("opens"), F.col("i_side"))), "b_price": ("last", F.when(F.col("opens"), F.col("i_price"))),
+        "cap": ("last", F.when(F.col("opens"), F.col("o_qty"))), "start": ("last", F.when(F.col("opens"), F.col("o_pos"))),
+        "b_side": ("last", F.when(F.col("opens"), F.col("o_side"))), "b_price": ("last", F.when(F.col("opens"), F.col("o_price"))),
     })
     df = df.withColumn("b_empty", F.col("cap") == 0).withColumn("carried", F.lit(False))
     if multi is not None:
@@ -191,21 +207,24 @@ def _changed(rested: DataFrame) -> DataFrame:
 
 
 # What a round reads of the log.
-_ROUND = [*SEGMENT, "pos", "ev", "ord", "chunk", "peer", "book_qty", "valid", "opens", "i_qty", "i_side", "i_price"]
+_ROUND = [*SEGMENT, "pos", "ev", "ord", "chunk", "peer", "book_qty", "valid", "opens", "o_qty", "o_side", "o_price", "o_pos"]
 
 _FOLD = 50
 
 
-def rebuild(events: DataFrame, tick: float = 0.01, chunk_rows: int = 1 << 20) -> Book:
-    """Rebuild the books of all submissions at once."""
-    log = cut(_with_intent(cut(order_log(events, chunk_rows))))
+def rebuild(events: DataFrame, tick: float = 0.01, chunk_rows: int = 1 << 20, prior: DataFrame | None = None) -> Book:
+    """Rebuild the books of all submissions at once; `prior` says what was known of orders before these events."""
+    raw = cut(_with_prior(order_log(events, chunk_rows), prior))
+    log = cut(_with_intent(raw))
+    discard(raw)
     again = log.filter(F.col("opens") & (F.col("seg") > 1)).select(*ORDER)
     multi = None if again.isEmpty() else cut(again.distinct())
 
     # Start: a fill is valid if its maker was ever accepted before it. Each later round looks
     # only at orders that took part in a fill whose validity changed in the round before.
     known = log.filter(F.col("ev") == MAKE).select(*KEYS, "pos", (F.col("seg") > 0).alias("valid"))
-    log = cut(log.join(known, AT, "left"))
+    first, log = log, cut(log.join(known, AT, "left"))
+    discard(first)
     size = log.count()
     changes, flips = None, cut(_changed(_resting(log, multi)))
     while (count := flips.count()) > 0:
@@ -216,14 +235,14 @@ def rebuild(events: DataFrame, tick: float = 0.01, chunk_rows: int = 1 << 20) ->
         touched = log.select(*_ROUND).join(flips.select(*ORDER).distinct(), ORDER, "left_semi")
         flips = cut(_changed(_resting(cut(_assume(touched, changes)), multi)))
     rested = _resting(_assume(log, changes), multi)
-    rested = cut(rested.drop("side", "limit", "price", "book_qty", "valid", "used", "cancels", "cap", "b_empty", "carried"))
+    rested = cut(rested.drop("side", "limit", "price", "book_qty", "valid", "used", "cancels", "cap", "carried"))
     return Book(log=rested, fills=cut(_fills(rested, tick)), lives=cut(_lives(rested, tick)), tick=tick)
 
 
 def _lives(log: DataFrame, tick: float) -> DataFrame:
     starts = log.filter(F.col("opens") & ~F.col("rests")).select(
-        *ORDER, F.col("pos").alias("start"), F.when(F.col("i_side") == SELL, "sell").otherwise("buy").alias("side"),
-        F.col("i_price").alias("price"), tick_of(F.col("i_price"), tick).alias("tick"), F.col("i_qty").alias("quantity"))
+        *ORDER, F.col("o_pos").alias("start"), F.when(F.col("o_side") == SELL, "sell").otherwise("buy").alias("side"),
+        F.col("o_price").alias("price"), tick_of(F.col("o_price"), tick).alias("tick"), F.col("o_qty").alias("quantity"))
     ends = log.filter("ends").select(
         *ORDER, "start", F.col("pos").alias("end"),
         F.when(F.col("ev") == CANCEL, "cancelled").otherwise("filled").alias("outcome"))
@@ -239,7 +258,7 @@ def _fills(log: DataFrame, tick: float) -> DataFrame:
         F.when(F.col("rests"), F.col("b_price")).alias("maker_price"),
         F.when(F.col("rests"), tick_of(F.col("b_price"), tick)).alias("maker_tick"))
     open_qty = F.greatest(F.lit(0), F.col("i_qty") - (F.col("taken") - F.col("take_qty") - F.col("taken_at_submit")))
-    known = F.col("i_pos").isNotNull() & (F.coalesce("gone_pos", F.lit(-1)) < F.col("i_pos"))
+    known = F.col("i_pos").isNotNull() & (F.coalesce("gone_pos", F.lit(_NEVER_GONE)) < F.col("i_pos"))
     # A cancelled order's open quantity is forgotten until it is submitted again.
     took = log.filter((F.col("ev") == TAKE) | ((F.col("ev") == CANCEL) & F.col("rests")))
     took = _scan(took, ORDER, {"gone_pos": ("max", F.when(F.col("ev") == CANCEL, F.col("pos")))})
@@ -249,6 +268,27 @@ def _fills(log: DataFrame, tick: float) -> DataFrame:
     return maker.join(taker, AT)
 
 
+def states(book: Book) -> DataFrame:
+    """What later events need to know of every order that the events named: ORDER and STATE, one row each."""
+    opens = F.col("opens")
+    stays = opens | (F.col("rests") & ~F.col("ends"))
+    left = F.when(opens & ~F.col("rests"), F.col("o_qty")).when(F.col("b_empty"), 0).otherwise(F.col("left") - F.col("cut_qty"))
+    after = {
+        "side": F.col("i_side"), "limit": F.col("i_limit"), "price": F.col("i_price"), "qty": F.col("i_qty"), "said": F.col("i_pos"),
+        "take_qty": F.when(F.col("i_pos").isNotNull(), F.col("taken") - F.col("taken_at_submit")),
+        "r_side": F.when(stays, F.col("b_side")), "r_price": F.when(stays, F.col("b_price")),
+        "r_qty": F.when(stays, left), "r_pos": F.when(stays, F.col("start"))}
+    last = book.log.groupBy(*ORDER).agg(
+        F.max_by(F.struct(*[v.alias(c) for c, v in after.items()]), "ord").alias("s"),
+        F.max(F.when((F.col("ev") == CANCEL) & F.col("rests"), F.col("pos"))).alias("gone"),
+        F.coalesce(F.bool_or(opens), F.lit(False)).alias("opened"))
+    said = F.col("s.said")
+    forgotten = (said == _FORGOTTEN) | (F.coalesce("gone", F.lit(_NEVER_GONE)) > said)
+    return last.select(*ORDER, "opened", *[
+        F.when(said.isNull(), F.lit(None).cast("bigint")).when(forgotten, _FORGOTTEN).otherwise(_STANDS).cast("bigint").alias(c) if c == "said"
+        else F.col(f"s.{c}").alias(c) for c in STATE])
+
+
 def depth(book: Book, at: int | None = None) -> DataFrame:
     """Open quantity per price level after stream position `at` (the end when None)."""
     until = F.lit(at if at is not None else (1 << 62))

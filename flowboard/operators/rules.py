@@ -17,12 +17,12 @@ def _live(book: Book) -> DataFrame:
     """Lives that hold quantity, as position intervals [lo, hi] in which they are on the book.
 
     A life without an end reaches the last position of the whole input, not an
-    arbitrary large one, which keeps its block cover short.
+    arbitrary large one, which keeps its block cover short; one from before the events counts from their first position.
     """
-    last = book.log.groupBy(*KEYS).agg((F.max("pos") + 1).alias("last"))
+    last = book.log.groupBy(*KEYS).agg((F.max("pos") + 1).alias("last"), F.min(F.when(F.col("pos") >= 0, F.col("pos"))).alias("first"))
     return book.lives.filter(F.col("quantity") > 0).join(last, KEYS).select(
         *KEYS, "oid", F.when(F.col("side") == "sell", SELL).otherwise(BUY).alias("side"), "tick", "start",
-        (F.col("start") + 1).alias("lo"), F.coalesce("end", "last").alias("hi"))
+        F.greatest(F.col("start") + 1, F.col("first")).alias("lo"), F.coalesce("end", "last").alias("hi"))
 
 
 def checked_fills(book: Book) -> DataFrame:

@@ -47,3 +47,32 @@ def cut(df: DataFrame) -> DataFrame:
 def new_path(spark: SparkSession, name: str) -> str:
     """A fresh sub-folder of the shared folder for a written table."""
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def _fs(spark: SparkSession, path: str):
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop, hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def names_in(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder of any store, sorted; none where it does not exist."""
+    hadoop, fs = _fs(spark, path)
+    return sorted(f.getPath().getName() for f in fs.listStatus(hadoop)) if fs.exists(hadoop) else []
+
+
+def mark(spark: SparkSession, path: str) -> None:
+    """Create an empty file: there from one moment to the next, never in part."""
+    hadoop, fs = _fs(spark, path)
+    fs.create(hadoop, True).close()
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder or file with all it holds."""
+    hadoop, fs = _fs(spark, path)
+    fs.delete(hadoop, True)
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a table made by `cut` once nothing reads it any more."""
+    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()[:1]}:
+        remove(df.sparkSession, path)
