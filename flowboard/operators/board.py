@@ -40,6 +40,59 @@ def ranked(entries: DataFrame, name: str = "rank") -> DataFrame:
     return out.withColumn(name, F.col(name).cast("bigint"))
 
 
+# Scores kept for an entry, and the parts of a run that the rank index counts.
+SCORES = ["latency_score", "throughput_score", "correctness_score", "stability_score", "composite"]
+BAND = ["run_id", "band", "part"]
+
+
+def live_scores(old: DataFrame, new: DataFrame, config: ScoreConfig = ScoreConfig()) -> DataFrame:
+    """Kept state after a batch, for the submissions of `new`: merged moments, last window, last verdict, scores (null without a window)."""
+    held = old.select(*KEYS, *[F.col(c).alias(f"__{c}") for c in ("n", "mean", "m2", "last", "correct")])
+    both = new.join(held, KEYS, "left")
+    n1, n2, total = F.coalesce("__n", F.lit(0)), F.col("n"), F.coalesce("__n", F.lit(0)) + F.col("n")
+    gap = F.col("mean") - F.coalesce("__mean", F.lit(0.0))
+    mean = F.when(total == 0, 0.0).otherwise(F.coalesce("__mean", F.lit(0.0)) + gap * n2 / total)
+    m2 = F.when(total == 0, 0.0).otherwise(F.coalesce("__m2", F.lit(0.0)) + F.col("m2") + gap * gap * n1 * n2 / total)
+    later = F.col("last").isNotNull() & (F.col("__last").isNull() | (F.col("last.window_end") >= F.col("__last.window_end")))
+    state = both.select(*KEYS, total.alias("n"), mean.alias("mean"), m2.alias("m2"),
+                        F.when(later, F.col("last")).otherwise(F.col("__last")).alias("last"), F.coalesce("correct", "__correct").alias("correct"))
+    cov = F.when((F.col("n") >= 2) & (F.col("mean") > 0), F.sqrt(F.col("m2") / (F.col("n") - 1)) / F.col("mean")).otherwise(F.lit(0.0))
+    parts = score_columns(F.col("last.tps"), F.col("last.p99_us"), F.col("last.error_rate"), F.coalesce("correct", F.lit(1.0)), cov, config)
+    scored = F.col("last").isNotNull()
+    return state.select("*", *[F.when(scored, parts[c]).alias(c) for c in SCORES], F.col("last.window_end").alias("computed_at"),
+                        *[F.col(f"last.{c}").alias(c) for c in ("tps", "p50_us", "p99_us", "error_rate")])
+
+
+def _banded(entries: DataFrame) -> DataFrame:
+    """Scored entries with their band (better ones first) and its part by latency, sixteen to an octave."""
+    octave = F.floor(F.log2(F.greatest(F.col("p99_us"), F.lit(1)).cast("double")) * 16)
+    return entries.where(F.col("composite").isNotNull()).withColumn("band", F.floor(F.col("composite") * -100 + 0.5).cast("bigint")).withColumn(
+        "part", F.when(F.col("p99_us") <= 0, -1).otherwise(octave).cast("bigint"))
+
+
+def index_changes(old: DataFrame, new: DataFrame) -> DataFrame:
+    """What entries that change take from and add to the counts of the index."""
+    left = _banded(old.withColumn("p99_us", F.col("last.p99_us"))).select(*BAND, F.lit(-1).alias("n"))
+    came = _banded(new).select(*BAND, F.lit(1).alias("n"))
+    return left.unionByName(came).groupBy(*BAND).agg(F.sum("n").alias("n"))
+
+
+def ranks_in(some: DataFrame, entries: DataFrame, index: DataFrame) -> DataFrame:
+    """Rank of some of the entries, by the index: entries in better bands, then the place in the own one.
+
+    One row a band of a run is added up in order; entries are read for the bands of `some` only, and placed there in chunks.
+    """
+    wanted = _banded(some.withColumn("p99_us", F.col("last.p99_us"))).select(*KEYS, "band", "part")
+    bands = wanted.select(*BAND).distinct()
+    upto = Window.partitionBy("run_id").orderBy("band", "part").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = index.where("n > 0").withColumn("ahead", F.coalesce(F.sum("n").over(upto), F.lit(0))).join(bands, BAND, "left_semi")
+    inside = _banded(entries).join(bands, BAND, "left_semi")
+    placed = prefix_scan(inside, BAND, [F.col("p99_us").asc(), F.col("submission_id").asc()], F.struct("p99_us", F.left("submission_id", F.lit(6))), {"place": ("count", F.lit(1))})
+    out = placed.join(wanted.select(*KEYS), KEYS, "left_semi").join(ahead.select(*BAND, "ahead"), BAND)
+    kept = [c for c in entries.columns if c not in ("n", "mean", "m2", "last", "correct")]
+    return out.select(*kept, (F.col("ahead") + F.col("place")).cast("bigint").alias("rank"))
+
+
 def display_name(scored: Column, earlier: Column) -> Column:
     """Name of the score, else the one known before, else the head of the id."""
     return F.coalesce(F.nullif(scored, F.lit("")), F.nullif(earlier, F.lit("")), F.left("submission_id", F.lit(8)))

@@ -289,6 +289,14 @@ def states(book: Book) -> DataFrame:
         else F.col(f"s.{c}").alias(c) for c in STATE])
 
 
+def resting_lives(kept: DataFrame, tick: float = 0.01) -> DataFrame:
+    """Kept states of resting orders as lives without an end."""
+    return kept.select(
+        *ORDER, F.col("r_pos").alias("start"), F.when(F.col("r_side") == SELL, "sell").otherwise("buy").alias("side"),
+        F.col("r_price").alias("price"), tick_of(F.col("r_price"), tick).alias("tick"), F.col("r_qty").alias("quantity"),
+        F.lit("resting").alias("outcome"))
+
+
 def depth(book: Book, at: int | None = None) -> DataFrame:
     """Open quantity per price level after stream position `at` (the end when None)."""
     until = F.lit(at if at is not None else (1 << 62))

@@ -145,11 +145,30 @@ def verdicts(book: Book, found: DataFrame, count: int = 25) -> DataFrame:
                                f["order_id"].alias("order_id"), f["pos"].alias("pos"))).alias("recent_findings"))
     out = totals.join(rules, KEYS, "left").join(last, KEYS, "left")
     n = F.coalesce("violations", F.lit(0))
-    share = F.lit(1.0) - n / F.greatest(F.col("orders_checked"), F.lit(1))
     return out.select(
         *KEYS, "orders_checked", "trades_checked", n.alias("violations"),
         F.coalesce("violations_by_rule", F.create_map().cast("map<string,bigint>")).alias("violations_by_rule"),
-        F.greatest(F.lit(0.0), F.least(F.lit(1.0), share)).alias("correctness_score"), "recent_findings")
+        _share(n, F.col("orders_checked")).alias("correctness_score"), "recent_findings")
+
+
+def added_verdicts(old: DataFrame, new: DataFrame, count: int = 25) -> DataFrame:
+    """Verdicts of two stretches of a stream, the later one second, as one of both."""
+    names = ["orders_checked", "trades_checked", "violations", "violations_by_rule", "recent_findings"]
+    held = old.join(new.select(*KEYS), KEYS, "left_semi").select(*KEYS, *[F.col(c).alias(f"__{c}") for c in names])
+    both = new.join(held, KEYS, "left")
+    total = {c: F.col(c) + F.coalesce(f"__{c}", F.lit(0)) for c in names[:3]}
+    no_rules, none = F.create_map().cast("map<string,bigint>"), F.array().cast(new.schema["recent_findings"].dataType)
+    total["violations_by_rule"] = F.map_zip_with(
+        F.coalesce("__violations_by_rule", no_rules), F.coalesce("violations_by_rule", no_rules), lambda _, a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0)))
+    last = F.concat(F.coalesce("__recent_findings", none), F.coalesce("recent_findings", none))
+    total["recent_findings"] = F.slice(last, F.greatest(F.size(last) - count + 1, F.lit(1)), count)
+    out = both.select(*KEYS, *[v.alias(c) for c, v in total.items()])
+    return out.withColumn("violations_by_rule", F.map_from_entries(F.array_sort(F.map_entries("violations_by_rule")))).withColumn(
+        "correctness_score", _share(F.col("violations"), F.col("orders_checked"))).select(*new.columns)
+
+
+def _share(violations: Column, orders: Column) -> Column:
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.lit(1.0) - violations / F.greatest(orders, F.lit(1))))
 
 
 def verdict_json(verdict: DataFrame) -> DataFrame:

@@ -54,7 +54,7 @@ class KeyedTable:
 
     Every `every` batches a snapshot is written and named by one marker file; until the marker is there, readers use the one
     before. A read takes one snapshot and fewer than 2 x `every` changes however old the table is. Reading as of a batch and writing the
-    same batch again are safe for the last batch, retried any number of times: a marker of that batch or a later one is passed over. Folders
+    same batch again are safe for the last batch, retried any number of times: its marker is passed over, and goes when it is written again. Folders
     below `path`: changes, snapshots, markers. Snapshots are laid out in ranges of the first key, so filters on it
     skip most of a snapshot. Rows for which `alive` does not hold leave at the next snapshot; readers filter them.
     """
@@ -93,6 +93,9 @@ class KeyedTable:
     def write(self, rows: DataFrame, batch_id: int) -> None:
         """Record a batch's rows, one per key; now and then fold everything into a new snapshot."""
         spark = rows.sparkSession
+        for batch, folder in self._markers(spark):
+            if batch >= batch_id:  # of an attempt at this batch that is now made again
+                remove(spark, f"{self.path}/markers/{batch:012d}--{folder}")
         write_changes(rows, f"{self.path}/changes", batch_id)
         if (batch_id + 1) % self.every:
             return

@@ -7,7 +7,7 @@ tumbling, sliding and rolling windows only regroup cells.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowboard.functions import hdr
@@ -166,6 +166,13 @@ def tps_stability(windows: DataFrame) -> DataFrame:
     )
 
 
+def tps_moments(window: str) -> list[Column]:
+    """Count, mean and summed squared deviations of the TPS of tumbling windows held in a struct column: they merge with others'."""
+    tps = F.when(F.col(f"{window}.window_kind") == "tumbling", F.col(f"{window}.tps"))
+    n = F.count(tps)
+    return [n.alias("n"), F.coalesce(F.avg(tps), F.lit(0.0)).alias("mean"), F.coalesce(F.var_pop(tps) * n, F.lit(0.0)).alias("m2")]
+
+
 def latest_window(windows: DataFrame) -> DataFrame:
     """Newest window per submission, one aggregate pass."""
     rest = [c for c in windows.columns if c not in KEYS]

@@ -15,6 +15,7 @@ from pyspark.sql.streaming import StreamingQuery
 from flowboard.functions.scoring import ScoreConfig
 from flowboard.functions.timeline import SECOND, instant
 from flowboard.operators import board, orderbook, rules, tables, windows
+from flowboard.session import cut, discard, names_in
 from flowboard.sources import envelopes
 
 KEYS = windows.KEYS
@@ -107,26 +108,54 @@ def closed_windows(spark: SparkSession, out: str) -> DataFrame:
     return tables.read_current(spark, f"{out}/windows", [*KEYS, "window_start", "window_kind"]).select(*windows.WINDOW_COLUMNS)
 
 
-def verdicts(order_events: DataFrame, out: str, checkpoint: str, tick: float = 0.01, **run) -> StreamingQuery:
-    """Verdicts of the submissions each micro-batch touches, by the set form of the batch rebuild.
+def verdicts(order_events: DataFrame, out: str, checkpoint: str, tick: float = 0.01, count: int = 25, **run) -> StreamingQuery:
+    """Running verdicts, each micro-batch going on from what is kept of its orders; no earlier event is read again.
 
-    The order log is a table; a batch appends to it and rebuilds the books of its submissions from
-    the log, spread over tasks by order, so a hot submission is no single task. Cost per batch
-    follows the log of the submissions it touches. Tables below `out`: orders, verdicts.
+    Positions of a batch lie behind those of the batches before, as a stream's do. Kept are, in tables of current rows below `out`: `orders`
+    (intent, quantity taken and what rests, of every order), `resting` (the open book) and `verdicts`. A batch reads the
+    states of the orders it names, the orders that rest in the submissions it touches, and those submissions' verdicts. Its own rows
+    then make a book by the set form, validity rounds within the batch included, so a hot submission is no single task.
     """
+    orders = tables.KeyedTable(f"{out}/orders", orderbook.ORDER)
+    resting = tables.KeyedTable(f"{out}/resting", orderbook.ORDER, alive=F.col("r_pos").isNotNull())
+    kept = tables.KeyedTable(f"{out}/verdicts", KEYS)
 
     def each(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        tables.write_changes(batch, f"{out}/orders", batch_id)
-        log = _until(spark, f"{out}/orders", batch_id).drop(tables.BATCH)
-        touched = spark.read.parquet(f"{out}/orders/{tables.BATCH}={batch_id}").select(*KEYS).distinct()
-        book = orderbook.rebuild(log.join(touched, KEYS, "left_semi"), tick)
-        verdict = rules.verdict_json(rules.verdicts(book, rules.findings(book)))
-        tables.write_changes(verdict, f"{out}/verdicts", batch_id)
+        events = cut(batch)
+        named = cut(orderbook.order_log(events, 1 << 20).select(*orderbook.ORDER).distinct())
+        bounds = named.agg(F.min("oid"), F.max("oid")).first()
+        if bounds[0] is None:
+            return
+        known, book_before, said = (t.read(spark, batch_id) for t in (orders, resting, kept))
+        prior = others = None
+        if known is not None:
+            # The ids' range reaches the sorted files; the join does the rest.
+            prior = cut(known.where(F.col("oid").between(*bounds)).join(named, orderbook.ORDER, "left_semi"))
+            others = book_before.where("r_pos is not null").join(named.select(*KEYS).distinct(), KEYS, "left_semi").join(named, orderbook.ORDER, "left_anti")
+        book = orderbook.rebuild(events, tick, prior=prior)
+        own = book.lives
+        if others is not None:
+            book.lives = own.unionByName(orderbook.resting_lives(others, tick), allowMissingColumns=True)
+        found = cut(rules.findings(book))
+        fresh = rules.verdicts(book, found, count)
+        now = fresh if said is None else rules.added_verdicts(said, fresh, count)
+        kept.write(now, batch_id)
+        after = cut(orderbook.states(book))
+        orders.write(after.drop("opened"), batch_id)
+        resting.write(after.where("opened").drop("opened"), batch_id)
+        for made in (events, named, prior, book.log, book.fills, own, found, after):
+            if made is not None:
+                discard(made)
 
     return start(order_events, each, checkpoint, **run)
 
 
+def current_verdicts(spark: SparkSession, out: str) -> DataFrame:
+    """The newest verdict of every submission that `verdicts` has seen."""
+    return tables.KeyedTable(f"{out}/verdicts", KEYS).read(spark)
+
+
 def sandbox(samples: DataFrame, out: str, checkpoint: str, **run) -> StreamingQuery:
     """Append resource samples."""
     return start(samples, lambda b, i: tables.write_changes(
@@ -134,36 +163,76 @@ def sandbox(samples: DataFrame, out: str, checkpoint: str, **run) -> StreamingQu
                                            .otherwise(F.col("sample_ts")))), out, i), checkpoint, **run)
 
 
-def score_board(window_stream: DataFrame, verdicts: Callable[[], DataFrame | None], out: str, checkpoint: str,
-                config: ScoreConfig = ScoreConfig(), **run) -> StreamingQuery:
-    """Scores and ranked boards from a stream of closed windows.
+def score_board(window_stream: DataFrame, verdict_stream: DataFrame | None, out: str, checkpoint: str,
+                config: ScoreConfig = ScoreConfig(), score_window: str | None = None, **run) -> StreamingQuery:
+    """Live scores and ranks from two streams: closed windows and verdicts. One board update per micro-batch.
+
+    Kept per submission (table `scores`): count, mean and squared deviations of its tumbling windows' TPS, which merge with
+    those of a batch; its last window; its last verdict. A batch reads these for the submissions it names and nothing else. The last
+    window is the newest of kind `score_window`, or of any kind where None; a verdict replaces an earlier one by its orders checked. Every
+    delivered window counts, one written again included. A submission has no score before its first window, and counts as
+    correct before its first verdict.
 
-    State lives in tables: each batch adds its windows, re-scores the
-    submissions it saw against the latest verdicts, and ranks all entries with
-    the rank of the board before. One board update per micro-batch.
+    Ranks come from an index (table `index`): entries per score band and latency band of a run. A batch changes the counts of the bands that its
+    submissions leave and enter; a rank is what lies in the bands before, plus the place within the own band, so only
+    bands of changed entries are read. Table `moves` gets a row per changed entry with its rank before (0: new). `current_board` ranks all.
     """
+    scores = tables.KeyedTable(f"{out}/scores", KEYS)
+    index = tables.KeyedTable(f"{out}/index", board.BAND, alive=F.col("n") > 0)
+    window = ["window_start", "window_end", "tps", "p50_us", "p99_us", "error_rate"]
+    tag = lambda df, kind: df.select(
+        *KEYS, *[(F.struct(*df.columns) if k == kind else F.lit(None)).alias(k) for k in ("w", "v")])
+    both = tag(window_stream, "w")
+    if verdict_stream is not None:
+        both = both.unionByName(tag(verdict_stream.select(*KEYS, "correctness_score", "orders_checked"), "v"))
 
     def each(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        if batch.isEmpty():
+        scoring = F.col("w").isNotNull() & (F.lit(score_window is None) | (F.col("w.window_kind") == score_window))
+        mine = batch.groupBy(*KEYS).agg(
+            *windows.tps_moments("w"),
+            F.max_by(F.struct(*[f"w.{c}" for c in window]), F.when(scoring, F.struct("w.window_end", "w.window_kind"))).alias("last"),
+            *([F.max_by("v.correctness_score", F.when(F.col("v").isNotNull(), F.col("v.orders_checked"))).alias("correct")]
+              if verdict_stream is not None else [F.lit(None).cast("double").alias("correct")]))
+        mine = cut(mine)
+        if mine.isEmpty():
             return
-        tables.write_changes(batch, f"{out}/windows", batch_id)
-        seen = _until(spark, f"{out}/windows", batch_id)
-        touched = seen.join(batch.select(*KEYS).distinct(), KEYS, "left_semi")
-        latest = windows.latest_window(touched)
-        fresh = board.scores(latest, windows.tps_stability(touched), verdicts(), config)
-        tables.write_changes(fresh, f"{out}/scores", batch_id)
-        current = _latest(_until(spark, f"{out}/scores", batch_id), KEYS)
-        before = _before(spark, f"{out}/board", batch_id)
-        ranked = board.ranked(current)
+        before, counts = scores.read(spark, batch_id), index.read(spark, batch_id)
+        old = mine.limit(0).select(*KEYS, "n", "mean", "m2", "last", "correct", *[F.lit(None).cast("double").alias(c) for c in board.SCORES]) if before is None else (
+            before.join(mine.select(*KEYS), KEYS, "left_semi"))
+        now = cut(board.live_scores(old, mine, config))
+        changed = board.index_changes(old, now)
+        total = changed if counts is None else changed.unionByName(counts.join(changed.select(*board.BAND), board.BAND, "left_semi"))
+        index.write(total.groupBy(*board.BAND).agg(F.sum("n").alias("n")), batch_id)
+        scores.write(now, batch_id)
+        entries, bands = scores.read(spark, batch_id + 1), index.read(spark, batch_id + 1)
+        moves = board.ranks_in(now, entries, bands)
         if before is None:
-            ranked = ranked.withColumn("prev_rank", F.lit(0).cast("bigint"))
+            moves = moves.withColumn("prev_rank", F.lit(0).cast("bigint"))
         else:
-            prev = _latest(before, KEYS).select(*KEYS, F.col("rank").alias("prev_rank"))
-            ranked = ranked.join(prev, KEYS, "left").withColumn("prev_rank", F.coalesce("prev_rank", F.lit(0)))
-        tables.write_changes(ranked, f"{out}/board", batch_id)
-
-    return start(window_stream, each, checkpoint, **run)
+            prev = board.ranks_in(old, before, counts).select(*KEYS, F.col("rank").alias("prev_rank"))
+            moves = moves.join(prev, KEYS, "left").withColumn("prev_rank", F.coalesce("prev_rank", F.lit(0)))
+        moves = moves.withColumn("rank_delta", board.rank_delta(F.col("rank"), F.col("prev_rank")))
+        tables.write_changes(moves, f"{out}/moves", batch_id)
+        for made in (mine, now):
+            discard(made)
+
+    return start(both, each, checkpoint, **run)
+
+
+def current_board(spark: SparkSession, out: str, batch_id: int | None = None) -> DataFrame:
+    """The whole board after an update (the newest where None): scores, rank, and the rank at the update of the run before."""
+    scores = tables.KeyedTable(f"{out}/scores", KEYS)
+    written = sorted(int(n.partition("=")[2]) for n in names_in(spark, f"{out}/moves") if n.startswith(f"{tables.BATCH}="))
+    batch_id = written[-1] if batch_id is None else batch_id
+    moved = spark.read.parquet(f"{out}/moves/{tables.BATCH}={batch_id}").select("run_id").distinct()
+    now = board.ranked(scores.read(spark, batch_id + 1).where("composite is not null"))
+    before = scores.read(spark, batch_id)
+    if before is None:
+        return now.withColumn("prev_rank", F.lit(0).cast("bigint"))
+    prev = board.ranked(before.where("composite is not null")).join(moved, "run_id", "left_semi")
+    out_rows = now.join(prev.select(*KEYS, F.col("rank").alias("prev_rank")), KEYS, "left")
+    return out_rows.withColumn("prev_rank", F.coalesce("prev_rank", F.lit(0)))
 
 
 def _until(spark: SparkSession, path: str, batch_id: int) -> DataFrame:
@@ -178,8 +247,3 @@ def _before(spark: SparkSession, path: str, batch_id: int) -> DataFrame | None:
     except AnalysisException:  # no board yet
         return None
     return None if old.isEmpty() else old
-
-
-def _latest(log: DataFrame, keys: list[str]) -> DataFrame:
-    rest = [c for c in log.columns if c not in (*keys, tables.BATCH)]
-    return log.groupBy(*keys).agg(F.max_by(F.struct(*rest), tables.BATCH).alias("r")).select(*keys, "r.*")

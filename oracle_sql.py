@@ -532,12 +532,24 @@ def oracle_sql() -> dict[str, str]:
     q["stream_dedupe_late"] = q["stream_dedupe"]
     q["stream_verdict"] = (f"WITH {VERDICTS} SELECT {KEYS}, orders_checked, trades_checked, violations, coalesce(by_rule, '{{}}') AS violations_by_rule, "
                            "round(correctness, 9) AS correctness_score FROM verdict")
-    q["stream_board"] = f"""WITH {TUMBLING}, {STABILITY}, lw AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {KEYS}
-        ORDER BY window_start DESC) AS rn FROM winw) JOIN stab USING ({KEYS}) WHERE rn = 1),
-      sco AS ({score_sql('lw', '1.0::DOUBLE', 'tps_cov')})
-      SELECT {KEYS}, latency_score, throughput_score, correctness_score, stability_score, composite,
-        row_number() OVER (PARTITION BY run_id ORDER BY composite DESC, p99_us, submission_id) AS rank,
-        CAST(0 AS BIGINT) AS prev_rank FROM sco"""
+    # The state after update u: windows up to its end, verdicts that have come.
+    live = f"""{TUMBLING}, {VERDICTS}, upd(u, upto) AS (VALUES (0, TIMESTAMP '2024-01-06'), (1, TIMESTAMP '2024-01-14'),
+        (2, TIMESTAMP '2024-01-25'), (3, TIMESTAMP '9999-01-01')),
+      wu AS (SELECT u, winw.*, window_start >= coalesce((SELECT max(upto) FROM upd p WHERE p.u = upd.u - 1), TIMESTAMP '0001-01-01') AS came
+        FROM winw JOIN upd ON window_start < upto),
+      su AS (SELECT u, {KEYS}, avg(tps) AS mean_tps, bool_or(came) AS came, CASE WHEN count(*) >= 2 AND avg(tps) > 0 THEN stddev_samp(tps) / avg(tps) ELSE 0.0 END AS tps_cov
+        FROM wu GROUP BY u, {KEYS}),
+      lw AS (SELECT wu.* EXCLUDE (came), su.tps_cov, vd.correctness, su.came OR (vd.run_id IS NOT NULL AND vu = u) AS touched
+        FROM (SELECT *, row_number() OVER (PARTITION BY u, {KEYS} ORDER BY window_start DESC) AS rn FROM wu) wu JOIN su USING (u, {KEYS})
+        LEFT JOIN (SELECT {KEYS}, correctness, CASE WHEN submission_id < 'sub-010' THEN 1 ELSE 2 END AS vu FROM verdict) vd
+          ON vd.run_id = wu.run_id AND vd.submission_id = wu.submission_id AND vu <= u WHERE rn = 1),
+      sco AS ({score_sql('lw', 'coalesce(correctness, 1.0::DOUBLE)', 'tps_cov')}),
+      rk AS (SELECT *, row_number() OVER (PARTITION BY u, run_id ORDER BY composite DESC, p99_us, submission_id) AS rank FROM sco),
+      moved AS (SELECT a.*, coalesce(b.rank, 0) AS prev_rank FROM rk a LEFT JOIN rk b ON b.u = a.u - 1 AND b.run_id = a.run_id AND b.submission_id = a.submission_id)"""
+    q["stream_board"] = f"""WITH {live} SELECT {KEYS}, latency_score, throughput_score, correctness_score, stability_score, composite,
+        rank, CAST(CASE WHEN run_id IN (SELECT run_id FROM moved WHERE u = 3 AND touched) THEN prev_rank ELSE 0 END AS BIGINT) AS prev_rank FROM moved WHERE u = 3"""
+    q["stream_rank_moves"] = f"""WITH {live} SELECT {KEYS}, CAST(u AS BIGINT) AS update_no, composite, rank, CAST(prev_rank AS BIGINT) AS prev_rank,
+        CAST(CASE WHEN prev_rank = 0 THEN 0 ELSE prev_rank - rank END AS BIGINT) AS rank_delta FROM moved WHERE touched"""
     # sinks
     q["stored_windows"] = q["tumbling_windows"]
     q["stored_peaks"] = f"""WITH {TUMBLING}, a AS (SELECT {KEYS}, sum(transactions) AS t, max(tps) AS p FROM winw GROUP BY {KEYS}),

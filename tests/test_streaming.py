@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from flowboard import schemas
 from flowboard.functions.timeline import HOUR
-from flowboard.operators import rules, tables, windows
+from flowboard.functions.scoring import ScoreConfig
+from flowboard.operators import orderbook, rules, tables, windows
 from flowboard.plans import registry, views
 from flowboard.plans.registry import QUERIES
 from flowboard.sources import envelopes
@@ -78,27 +79,83 @@ def test_dedupe_keeps_first_deliveries_that_come_late(spark, tmp_path):
     assert sorted(r.id for r in spark.read.parquet(out).collect()) == [0, 1, 2, 3]
 
 
-def test_score_board(spark, sf, tmp_path):
-    w = QUERIES["tumbling_windows"](spark, sf)
-    src, out = str(tmp_path / "in"), str(tmp_path / "out")
-    half = F.col("window_start") < F.lit("2024-01-08").cast("timestamp_ntz")
-    w.filter(half).coalesce(1).write.mode("append").parquet(src)
-    w.filter(~half).coalesce(1).write.mode("append").parquet(src)
-    stream = jobs.file_source(spark, src, w.schema, "parquet", maxFilesPerTrigger="1")
-    jobs.score_board(stream, lambda: None, out, str(tmp_path / "cp")).awaitTermination()
-    from flowboard.operators import board
-    want = board.ranked(board.scores(windows.latest_window(w), windows.tps_stability(w), None))
-    log = spark.read.option("basePath", f"{out}/board").parquet(f"{out}/board")
-    last = tables.read_current(spark, f"{out}/board", ["run_id", "submission_id"])
-    assert rows(last.select("run_id", "submission_id", "rank", "composite")) == rows(
-        want.select("run_id", "submission_id", "rank", "composite"))
-    before = {(r.run_id, r.submission_id): r["rank"] for r in log.filter("batch_id = 0").collect()}
-    for r in last.collect():
-        assert r.prev_rank == before.get((r.run_id, r.submission_id), 0)
+def _windows(rng, batches, subs, per):
+    """Per batch a list of window rows of some submissions, times rising."""
+    from datetime import datetime, timedelta
+
+    out, at = [], datetime(2024, 1, 1)
+    for _ in range(batches):
+        rows_ = []
+        for s in rng.sample(range(subs), rng.randrange(1, subs)):
+            for kind in ("tumbling",) * rng.randrange(1, per) + ("sliding",):
+                at += timedelta(seconds=5)
+                rows_.append(("r", f"sub-{s:03d}", at, at + timedelta(seconds=5), kind, 0, 0, 0, rng.choice([0.0, rng.uniform(1, 2e5)]), rng.choice([0.0, rng.random()]), 1, 1,
+                              rng.choice([0, 90, 5000, 10**6]), 1, 1.0, 1))
+        out.append(rows_)
+    return out
+
+
+def _running_board(batches, verdicts, config):
+    """The board after each update, from all windows so far."""
+    import math
+    import statistics
+
+    seen, said, boards = {}, {}, []
+    for rows_, told in zip(batches, verdicts):
+        for w in rows_:
+            seen.setdefault(w[1], []).append(w)
+        said.update(told)
+        entries = []
+        for sub, ws in seen.items():
+            last, tps = max(ws, key=lambda w: w[3]), [w[8] for w in ws if w[4] == "tumbling"]
+            cov = statistics.stdev(tps) / statistics.mean(tps) if len(tps) > 1 and statistics.mean(tps) > 0 else 0.0
+            clamp = lambda x: max(0.0, min(1.0, x))
+            cor, p99 = clamp(said.get(sub, 1.0)), last[12]
+            x = max(config.best_p99_us, min(config.worst_p99_us, p99))
+            lat = 0.0 if p99 <= 0 else 100 * clamp((math.log10(config.worst_p99_us) - math.log10(x)) / (math.log10(config.worst_p99_us) - math.log10(config.best_p99_us)))
+            parts = [lat, 100 * clamp(last[8] / config.target_tps), 100 * cor, 100 * clamp(1 - clamp(cov) - clamp(last[9]))]
+            total = sum(a * b for a, b in zip((0.35, 0.30, 0.25, 0.10), parts)) * (0.5 + 0.5 * cor)
+            entries.append((-math.floor(total * 100 + 0.5) / 100, p99, sub))
+        boards.append({e[2]: (i + 1, -e[0]) for i, e in enumerate(sorted(entries))})
+    return boards
+
+
+def test_score_board(spark, tmp_path):
+    """Windows and verdicts over nine updates: scores and ranks of each, against a board worked out from the whole history."""
+    import random
+
+    rng, config = random.Random(3), ScoreConfig()
+    batches = _windows(rng, 9, 12, 4)
+    told = [{f"sub-{s:03d}": rng.choice([0.0, rng.random(), 1.0]) for s in rng.sample(range(14), rng.randrange(3))} for _ in batches]
+    pw, pv, out = str(tmp_path / "w"), str(tmp_path / "v"), str(tmp_path / "out")
+    ws = schemas_of_windows(spark)
+    want = _running_board(batches, told, config)
+    verdict = "run_id string, submission_id string, correctness_score double, orders_checked bigint"
+    for i, (rows_, v) in enumerate(zip(batches, told)):
+        spark.createDataFrame(rows_, ws).repartition(2).write.mode("append").parquet(pw)
+        spark.createDataFrame([("r", s, c, i) for s, c in v.items()], verdict).coalesce(1).write.mode("append").parquet(pv)
+        streams = [jobs.file_source(spark, p, spark.createDataFrame([], x).schema, "parquet") for p, x in ((pw, ws), (pv, verdict))]
+        jobs.score_board(*streams, out, str(tmp_path / "cp"), config).awaitTermination()
+    log = spark.read.option("basePath", f"{out}/moves").parquet(f"{out}/moves").collect()
+    assert len({r.batch_id for r in log}) == 9 and any(r.prev_rank not in (0, r["rank"]) for r in log)
+    for r in log:
+        before = want[r.batch_id - 1].get(r.submission_id, (0,))[0] if r.batch_id else 0
+        assert (r["rank"], r.prev_rank) == (want[r.batch_id][r.submission_id][0], before)
+        assert r.composite == pytest.approx(want[r.batch_id][r.submission_id][1], abs=0.0101)
+    last = jobs.current_board(spark, out).collect()
+    assert {r.submission_id: (r["rank"], r.prev_rank) for r in last} == {s: (k, want[-2].get(s, (0,))[0]) for s, (k, _) in want[-1].items()}
+    # What a batch reads is one snapshot and a bounded number of changes, however many updates there were.
+    snapshot, changes = tables.KeyedTable(f"{out}/scores", ["run_id", "submission_id"]).sources(spark)
+    assert snapshot and len(changes) < 8
+
+
+def schemas_of_windows(spark):
+    return ("run_id string, submission_id string, window_start timestamp_ntz, window_end timestamp_ntz, window_kind string, transactions bigint, errors bigint, "
+            "timeouts bigint, tps double, error_rate double, p50_us bigint, p90_us bigint, p99_us bigint, max_us bigint, mean_us double, sample_count bigint")
 
 
 def test_verdicts_over_batches(spark, tmp_path):
-    """Three micro-batches, order ids beyond 2^53."""
+    """Nine micro-batches with orders that live across them, order ids beyond 2^53."""
     big = 1 << 53
     streams = {f"s{i}": random_stream(f"s{i}", 50 + i, n=150, irregular=True) for i in range(2)}
     for events in streams.values():
@@ -106,14 +163,16 @@ def test_verdicts_over_batches(spark, tmp_path):
             for name in ("order_id", "maker_order_id"):
                 e[name] = e[name] if e[name] is None else big + e[name]
     src, out = str(tmp_path / "in"), str(tmp_path / "out")
-    for lo, hi in ((0, 150), (150, 300), (300, 10**9)):
+    cuts = [0, 40, 90, 100, 150, 200, 260, 300, 320, 10**9]
+    for lo, hi in zip(cuts, cuts[1:]):
         part = [tuple(e.values()) for s in streams.values() for e in s if lo <= e["pos"] < hi]
         spark.createDataFrame(part, schemas.ORDER_EVENT).coalesce(1).write.mode("append").parquet(src)
     schema = spark.createDataFrame([], schemas.ORDER_EVENT).schema
     jobs.verdicts(jobs.file_source(spark, src, schema, "parquet", maxFilesPerTrigger="1"), out, str(tmp_path / "cp")).awaitTermination()
-    log = spark.read.parquet(f"{out}/verdicts")
-    assert log.select(tables.BATCH).distinct().count() == 3
-    got = {r.submission_id: r for r in tables.read_current(spark, f"{out}/verdicts", ["run_id", "submission_id"]).collect()}
+    got = {r.submission_id: r for r in rules.verdict_json(jobs.current_verdicts(spark, out)).collect()}
+    # Only open orders are left in the book's snapshot, and every batch but the last few is folded into it.
+    snapshot, changes = tables.KeyedTable(f"{out}/resting", orderbook.ORDER).sources(spark)
+    assert len(changes) == 1 and spark.read.parquet(snapshot).where("r_pos is null").isEmpty()
     for sub, events in streams.items():
         want, r = Model(events), got[sub]
         assert (r.orders_checked, r.trades_checked, r.violations) == (want.orders, want.trades, len(want.findings))
@@ -131,3 +190,24 @@ def test_micro_batches_keep_their_partitions(spark, sf, monkeypatch):
     assert rows(got) == rows(events.select(*got.columns))
     files = spark.read.parquet(made["source"]).select(F.input_file_name().alias("f"), "turn").distinct().groupBy("turn").count().collect()
     assert {r["turn"]: r["count"] for r in files} == {i: 5 for i in range(4)}
+
+
+def test_keyed_table_reads_stay_bounded_and_retries_are_safe(spark, tmp_path):
+    """Many batches, some written twice or with a compaction cut short: the newest row per key, few folders read."""
+    table, want, schema = tables.KeyedTable(str(tmp_path / "t"), ["k"], every=4, keep_max=["peak"]), {}, "k bigint, v bigint, peak bigint"
+    peak = {}
+    for batch in range(18):
+        rows_ = [((batch * 7 + j) % 20, batch * 10 + j, (batch * 13 + j) % 31) for j in range(3)]
+        df = spark.createDataFrame(rows_, schema).coalesce(1)
+        if batch % 4 == 3:
+            table.write(spark.createDataFrame([(99, 0, 99)], schema), batch)  # a first attempt that is replaced
+            assert table.read(spark, batch).where("k = 99").isEmpty()
+        table.write(df, batch)
+        for k, v, p in rows_:
+            want[k], peak[k] = v, max(p, peak.get(k, 0))
+        snapshot, changes = table.sources(spark, batch + 1)
+        assert len(changes) <= 4 and (snapshot is not None) == (batch >= 3)
+    assert {r.k: (r.v, r.peak) for r in table.read(spark).collect()} == {k: (v, peak[k]) for k, v in want.items()}
+    from flowboard.session import names_in
+
+    assert len(names_in(spark, f"{tmp_path}/t/snapshots")) == 2 and len(names_in(spark, f"{tmp_path}/t/changes")) <= 8
