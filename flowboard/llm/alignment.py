@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+import struct
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
+from itertools import chain, compress
 
 import numpy as np
 import pandas as pd
@@ -20,7 +22,7 @@ RADICES = 64
 #: Runs that one merge takes at about.
 FAN_IN = 32
 #: Units remembered per worker. It bounds memory, not what is encoded.
-CACHE_UNITS = 150_000
+CACHE_UNITS = 300_000
 LONGEST_CACHED = 40
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 _SPACED = re.compile(r"\A\s|\s\s|\s\Z|[^\S ]")
@@ -49,6 +51,8 @@ class Aligner:
         self.a_bytes = [bytes(map(byte.__getitem__, t)) if all(c in byte for c in t) else t.encode() for t in names]
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
+        self.a_size, self.b_size = (np.array(list(map(len, t))) for t in (self.a_bytes, self.b_bytes))
+        self.a_name, self.b_name = list(map(str, range(size))), list(map(str, range(len(pieces))))
         self.by_unit = self.a.by_piece and not any(re.search("[^▁]▁", p) for p in pieces)
         self.held: dict[str, tuple] = {}
 
@@ -60,39 +64,53 @@ class Aligner:
 
     def align(self, units: list[str]) -> list[tuple[str | None, int, int, int, bytes]]:
         """Of each unit: its groups (None where bytes differ), tokens of A and B, number of groups, linked (B << 32 | A) with repeats."""
-        held, out = self.held, {}
+        from flowboard.llm.tokens import _WORD
+
+        held, out, by_piece, unpack = self.held, {}, self.a.by_piece, struct.unpack
         missing = [u for u in units if u not in held]
-        for unit, b in zip(missing, self.b.encode(missing, num_threads=1) if missing else []):
-            spaced = " " + unit
-            raw = self.a.piece(spaced) if self.a.by_piece and spaced.isascii() else self.a.whole(spaced)
-            out[unit] = got = self._align(spaced.encode("utf-8", "surrogatepass"), np.frombuffer(raw, dtype="<u4").tolist(), b)
-            if len(held) < CACHE_UNITS and len(unit) <= LONGEST_CACHED:
-                held[unit] = got
+        if missing:
+            word, piece, whole = self.a.units.word, self.a.piece, self.a.whole
+            raw = [word(t) if by_piece and _WORD(t) else piece(t) if by_piece else whole(t) for t in map(" ".__add__, missing)]
+            out = dict(zip(missing, self._align([(" " + u).encode("utf-8", "surrogatepass") for u in missing],
+                                                [unpack(f"<{len(r) // 4}I", r) for r in raw], self.b.encode(missing, num_threads=1))))
+            room = CACHE_UNITS - len(held)
+            if room > 0:
+                held.update([x for x in out.items() if len(x[0]) <= LONGEST_CACHED][:room])
         return [held.get(u) or out[u] for u in units]
 
-    def _align(self, text: bytes, a: list[int], b: list[int]) -> tuple[str | None, int, int, int, bytes]:
-        pa, pb = [self.a_bytes[i] for i in a], [self.b_bytes[i] for i in b]
-        if b"".join(pa) != text or b"".join(pb) != text:
-            return None, 0, 0, 0, b""
-        pairs, groups, i, j, ga, gb = [], [], 0, 0, 0, 0
-        end_a, end_b = len(pa[0]), len(pb[0])
-        while True:
-            pairs.append(b[j] << 32 | a[i])
-            step_a, step_b = end_a <= end_b, end_b <= end_a
-            if step_a:
-                i += 1
-            if step_b:
-                j += 1
-            if step_a and step_b:
-                groups.append(f"{','.join(map(str, a[ga:i]))}|{','.join(map(str, b[gb:j]))}")
-                ga, gb = i, j
-                if i == len(a):
-                    break
-            if step_a:
-                end_a += len(pa[i])
-            if step_b:
-                end_b += len(pb[j])
-        return ";".join(groups), len(a), len(b), len(groups), np.array(pairs, dtype="<u8").tobytes()
+    def _align(self, texts: list[bytes], a: list, b: list) -> list[tuple[str | None, int, int, int, bytes]]:
+        """Texts side by side as one stretch of bytes: a link is what lies between neighbouring token ends of either side."""
+        sizes = np.array(list(map(len, texts)))
+        ids, ends, counts = [], [], []
+        same = np.ones(len(texts), dtype=bool)
+        for side, size in ((a, self.a_size), (b, self.b_size)):
+            flat, n = np.fromiter(chain.from_iterable(side), dtype=np.int64), np.fromiter(map(len, side), dtype=np.int64, count=len(side))
+            upto = np.append(0, np.cumsum(size[flat]))
+            last = np.cumsum(n)
+            same &= upto[last] - upto[last - n] == sizes
+            ids.append(flat)
+            ends.append(upto[1:])
+            counts.append(n)
+        differ = not same.all()
+        if not differ:
+            text = b"".join(texts)
+            differ = any(b"".join(map(table.__getitem__, chain.from_iterable(side))) != text for side, table in ((a, self.a_bytes), (b, self.b_bytes)))
+        if differ:
+            same = [b"".join(map(self.a_bytes.__getitem__, x)) == t and b"".join(map(self.b_bytes.__getitem__, y)) == t for t, x, y in zip(texts, a, b)]
+            good = iter(self._align(*[list(compress(x, same)) for x in (texts, a, b)]))
+            return [next(good) if ok else (None, 0, 0, 0, b"") for ok in same]
+        stretch = np.unique(np.concatenate(ends))
+        i, j = (np.searchsorted(e, stretch) for e in ends)
+        pairs = (ids[1][j] << 32 | ids[0][i]).astype("<u8").tobytes()
+        common = np.flatnonzero((ends[0][i] == stretch) & (ends[1][j] == stretch))
+        ga, gb = [0, *(i[common] + 1).tolist()], [0, *(j[common] + 1).tolist()]
+        name_a, name_b = list(map(self.a_name.__getitem__, ids[0].tolist())), list(map(self.b_name.__getitem__, ids[1].tolist()))
+        groups = [f"{','.join(name_a[ga[k]:ga[k + 1]])}|{','.join(name_b[gb[k]:gb[k + 1]])}" for k in range(len(common))]
+        upto = np.cumsum(sizes)
+        links = [0, *np.searchsorted(stretch, upto, "right").tolist()]
+        of = [0, *np.searchsorted(stretch[common], upto, "right").tolist()]
+        return [(";".join(groups[of[k]:of[k + 1]]), x, y, of[k + 1] - of[k], pairs[8 * links[k]:8 * links[k + 1]])
+                for k, (x, y) in enumerate(zip(counts[0].tolist(), counts[1].tolist()))]
 
 
 @lru_cache(maxsize=1)
