@@ -13,7 +13,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowboard.functions.timeline import epoch_of
@@ -311,6 +311,37 @@ def depth(book: Book, at: int | None = None) -> DataFrame:
     )
 
 
+def depth_at(book: Book, positions: DataFrame, chunk_rows: int = 1 << 20) -> DataFrame:
+    """Orders and open quantity per price level after each of many stream positions: KEYS, at, side, tick, orders, open_quantity.
+
+    `positions` lists (KEYS, at). A sweep: every change of a level belongs to the first position at or behind it; changes are added up per level
+    and position, summed along the positions, and a level's row is repeated until its next change. No life meets a
+    position by a range join, and levels without orders have no row.
+    """
+    marks = positions.select(*KEYS, F.col("at").cast("bigint").alias("at")).distinct()
+    log = book.log.where(~F.col("b_empty"))
+    comes, stays = F.col("opens") & ~F.col("rests"), F.col("rests") & ~F.col("opens")
+    side = lambda c: F.when(F.col(c) == SELL, "sell").otherwise("buy")
+    change = F.when(comes, F.struct(side("o_side").alias("side"), tick_of(F.col("o_price"), book.tick).alias("tick"), F.lit(1).alias("orders"), F.col("o_qty").alias("qty")))
+    # The last event of a life takes away all that is left of it.
+    change = change.when(stays, F.struct(side("b_side").alias("side"), tick_of(F.col("b_price"), book.tick).alias("tick"), (-F.col("ends").cast("int")).alias("orders"),
+                                         F.when(F.col("ends"), -F.col("left")).otherwise(-F.col("cut_qty")).alias("qty")))
+    changes = log.where(comes | stays).select(*KEYS, F.col("pos").alias("at"), change.alias("c"))
+    number = prefix_scan(marks, KEYS, [F.col("at")], epoch_of(F.col("at"), chunk_rows), {"i": ("count", F.lit(1))})
+    both = changes.withColumn("i", F.lit(None).cast("bigint")).unionByName(number.withColumn("c", F.lit(None).cast(changes.schema["c"].dataType)))
+    # Backwards, a position before the changes at it.
+    dealt = prefix_scan(both, KEYS, [F.col("at") * -2 + F.col("c").isNotNull().cast("int")], -epoch_of(F.col("at"), chunk_rows), {"to": ("last", F.col("i"))})
+    level = [*KEYS, "side", "tick"]
+    added = dealt.where("c is not null and to is not null").select(*KEYS, "c.*", "to").groupBy(*level, "to").agg(
+        F.sum("orders").alias("orders"), F.sum("qty").alias("qty"))
+    along = Window.partitionBy(*level).orderBy("to")  # one row a position at most
+    sums = {"orders": F.sum("orders").over(along), "open_quantity": F.sum("qty").over(along), "next": F.lead("to").over(along)}
+    upto = added.select(*level, "to", *[v.alias(c) for c, v in sums.items()])
+    count = number.groupBy(*KEYS).agg(F.max("i").alias("last"))
+    rows = upto.where("orders > 0").join(count, KEYS).withColumn("i", F.explode(F.sequence(F.col("to"), F.coalesce(F.col("next") - 1, F.col("last")))))
+    return rows.join(number, [*KEYS, "i"]).select(*KEYS, "at", "side", "tick", "orders", "open_quantity")
+
+
 def top_of_book(levels: DataFrame) -> DataFrame:
     """Best bid and ask with their open quantity, and whether they cross."""
     bid, ask = F.col("side") == "buy", F.col("side") == "sell"

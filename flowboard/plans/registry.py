@@ -373,6 +373,18 @@ def book_depth(spark, sf):
     return orderbook.depth(_book(spark, sf)[0])
 
 
+DEPTH_STEP = 1000
+
+
+@query
+def book_depth_at(spark, sf):
+    """Price levels after each 1,000th stream position of a submission, up to the one behind its last event."""
+    book = _book(spark, sf)[0]
+    step = lambda c: F.floor((c + DEPTH_STEP - 1) / DEPTH_STEP)
+    ends = book.log.groupBy(*KEYS).agg(step(F.min("pos")).alias("lo"), step(F.max("pos")).alias("hi"))
+    return orderbook.depth_at(book, ends.select(*KEYS, F.explode(F.transform(F.sequence("lo", "hi"), lambda i: i * DEPTH_STEP)).alias("at")))
+
+
 @query
 def top_of_book(spark, sf):
     return orderbook.top_of_book(orderbook.depth(_book(spark, sf)[0]))

@@ -453,6 +453,13 @@ def oracle_sql() -> dict[str, str]:
     q["best_price_before_fill"] = (f"WITH {CHECKED} SELECT {B_KEYS}, pos, m_tick AS maker_tick, best_tick, front AS front_id, "
                                    "crossed AS crossed_after FROM checked WHERE rests")
     q["book_depth"] = f"WITH {DEPTH} SELECT * FROM depth"
+    q["book_depth_at"] = f"""WITH {BOOK}, named AS (SELECT sub, pos FROM fl UNION ALL SELECT sub, ack - 1 FROM ord UNION ALL SELECT sub, ack FROM ord WHERE accepted
+        UNION ALL SELECT sub, pos FROM cxl),
+      marks AS (SELECT sub, unnest(range((min(pos) + 999) // 1000, (max(pos) + 999) // 1000 + 1)) * 1000 AS at FROM named GROUP BY sub),
+      alive AS MATERIALIZED (SELECT m.sub, m.at, l.k, l.side, l.tick, l.qty FROM marks m JOIN life l ON l.sub = m.sub AND l.start <= m.at AND (l.fin IS NULL OR l.fin > m.at)),
+      spent AS (SELECT a.sub, a.at, a.k, sum(l.q) AS q FROM alive a JOIN last l ON l.sub = a.sub AND l.o = a.k AND l.pos <= a.at GROUP BY ALL)
+      SELECT 'run-0' AS run_id, a.sub AS submission_id, a.at, side, tick, count(*) AS orders, CAST(sum(qty - coalesce(s.q, 0)) AS BIGINT) AS open_quantity
+      FROM alive a LEFT JOIN spent s ON s.sub = a.sub AND s.at = a.at AND s.k = a.k GROUP BY ALL"""
     q["top_of_book"] = f"""WITH {DEPTH}, t AS (SELECT {KEYS}, max(tick) FILTER (side = 'buy') AS best_bid,
         arg_max(open_quantity, tick) FILTER (side = 'buy') AS bid_quantity, min(tick) FILTER (side = 'sell') AS best_ask,
         arg_min(open_quantity, tick) FILTER (side = 'sell') AS ask_quantity FROM depth GROUP BY {KEYS})

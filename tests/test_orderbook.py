@@ -58,6 +58,28 @@ def test_random_irregular_streams_in_small_chunks(spark):
         assert {(r.side, r.tick): (r.orders, r.open_quantity) for r in levels if r.submission_id == sub} == want
 
 
+def test_depth_at_many_positions(spark):
+    """Each position's levels against the model's book there, with reused ids and orders without quantity."""
+    streams = {f"s{i}": random_stream(f"s{i}", 200 + i, n=120, irregular=True) for i in range(4)}
+    book = build(spark, list(streams.values()), 64)
+    marks = [("run", sub, at) for sub, rows in streams.items() for at in sorted({-5, 10**6, *[r["pos"] + d for r in rows[::9] for d in (0, 1)]})]
+    run = next(iter(streams.values()))[0]["run_id"]
+    asked = spark.createDataFrame([(run, s, a) for _, s, a in marks], "run_id string, submission_id string, at bigint")
+    got = {}
+    for r in orderbook.depth_at(book, asked.union(asked), 64).collect():
+        got[r.submission_id, r["at"], r.side, r.tick] = (r.orders, r.open_quantity)
+    want = {}
+    for sub, rows in streams.items():
+        model = Model(rows)
+        for _, s, at in marks:
+            if s == sub:
+                for side, price, left, _ in model.book(at + 1).values():
+                    if left > 0:
+                        n, q = want.get((sub, at, side, Model.tick(price)), (0, 0))
+                        want[sub, at, side, Model.tick(price)] = (n + 1, q + left)
+    assert got == want and len({k[1] for k in got}) > 20
+
+
 def test_one_hot_submission(spark):
     streams = {"hot": random_stream("hot", 7, n=4000), "cold": random_stream("cold", 8, n=60)}
     compare(spark, streams, 256)
