@@ -140,6 +140,17 @@ def retain(rows: DataFrame, ts: str, days: int = 7) -> DataFrame:
     return rows.join(F.broadcast(bound), F.col(ts) >= F.col("__bound")).drop("__bound")
 
 
+def drop_days(spark: SparkSession, path: str, days: int = 7) -> list[str]:
+    """Delete whole day folders of a sample table that lie `days` or more before its newest day; returns their names. No file is read or written."""
+    from datetime import date, timedelta
+
+    found = {n: date.fromisoformat(n.partition("=")[2]) for n in names_in(spark, path) if n.startswith("day=") and n[4:5].isdigit()}
+    gone = [n for n, day in found.items() if day <= max(found.values()) - timedelta(days=days)]
+    for name in gone:
+        remove(spark, f"{path.rstrip('/')}/{name}")
+    return gone
+
+
 def dead_letters(routed: DataFrame) -> DataFrame:
     """Rejected envelopes, keyed by reason."""
     return routed.filter(F.col("reason").isNotNull())
@@ -152,8 +163,8 @@ def write_routed(routed: DataFrame, path: str, batch_id: int | None = None) -> N
 
 
 def write_board(board: DataFrame, path: str) -> None:
-    """Mirror of the boards, one folder per run."""
-    board.write.mode("overwrite").partitionBy("run_id").parquet(path)
+    """Mirror of the boards, one folder per run. Only the folders of runs in `board` are replaced."""
+    board.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(path)
 
 
 def read_board(spark: SparkSession, path: str, updated: str, now, ttl_hours: int = 24) -> DataFrame:

@@ -190,7 +190,7 @@ def _quantity(k):
 
 
 def order_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Order book stream: each order is submitted and acked, each line is a fill of its order.
+    """Order book stream: each order is submitted and acked, every seventh acked twice, each line is a fill of its order, some without quantity.
 
     Stream position is the order key times 64 plus a small offset, so it follows from the row.
     """
@@ -216,17 +216,18 @@ def order_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         kind=F.when(F.col("o_orderpriority") == "1-URGENT", "market").otherwise("limit"),
         price=_price(k), quantity=_quantity(k))
     replies = shape(o, k * 64 + 1, "order_ack", k, accepted=F.col("o_orderstatus") != "P")
+    again = shape(o.filter(k % 7 == 0), k * 64 + 2, "order_ack", k, accepted=F.col("o_orderstatus") != "P")
     cancels = shape(o.filter(F.col("o_orderpriority") == "5-LOW"), k * 64 + 62, "order_cancelled", k - 3)
     line = Window.partitionBy("l_orderkey").orderBy(
         "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate")
     li = li.select("l_orderkey", "l_linenumber", "l_quantity", F.row_number().over(line).alias("rn"))
     li = li.withColumn("k", F.col("l_orderkey"))
-    qty = F.col("l_quantity").cast("bigint")
+    qty = F.when(F.col("l_quantity") == 50, 0).otherwise(F.col("l_quantity")).cast("bigint")
     fills = shape(
-        li, k * 64 + 1 + F.col("rn"), "order_filled", k,
+        li, k * 64 + 2 + F.col("rn"), "order_filled", k,
         maker_order_id=k - F.col("l_linenumber"), fill_price=_price(k - F.col("l_linenumber")),
         fill_quantity=qty, remaining_quantity=F.greatest(F.lit(0), _quantity(k) - qty))
-    return submits.unionByName(replies).unionByName(fills).unionByName(cancels)
+    return submits.unionByName(replies).unionByName(again).unionByName(fills).unionByName(cancels)
 
 
 # Lifecycle event names a submission passes through, in order, then what follows READY.

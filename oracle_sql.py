@@ -110,7 +110,7 @@ BOOK_BASE = f"""ord AS MATERIALIZED (SELECT o_orderkey AS k, 'sub-' || lpad(CAST
   cand AS MATERIALIZED (SELECT o.*, c.pos AS cpos FROM ord o LEFT JOIN cxl c ON c.k = o.k AND c.sub = o.sub
     WHERE is_limit AND accepted),
   fl AS MATERIALIZED (SELECT 'sub-' || lpad(CAST(l_orderkey // 500 AS VARCHAR), 3, '0') AS sub, l_orderkey AS k,
-    l_orderkey - l_linenumber AS mk, CAST(l_quantity AS BIGINT) AS q, l_orderkey * 64 + 1 + row_number() OVER (
+    l_orderkey - l_linenumber AS mk, CASE WHEN l_quantity = 50 THEN 0 ELSE CAST(l_quantity AS BIGINT) END AS q, l_orderkey * 64 + 2 + row_number() OVER (
       PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate) AS pos
     FROM lineitem)"""
 
@@ -136,7 +136,7 @@ BOOK = f"""{BOOK_BASE}, {_taken(None, '0')},
   {_taken('settled', 'z')},
   last AS (SELECT * FROM sz),
   done AS (SELECT sub, o, min(pos) AS pos FROM last WHERE used + q >= qty GROUP BY sub, o),
-  spans AS (SELECT sub, max(pos) AS last_pos FROM (SELECT sub, pos FROM fl UNION ALL SELECT sub, ack FROM ord WHERE accepted
+  spans AS (SELECT sub, max(pos) AS last_pos FROM (SELECT sub, pos FROM fl UNION ALL SELECT sub, ack + (k % 7 = 0)::BIGINT FROM ord WHERE accepted
     UNION ALL SELECT sub, pos FROM cxl) GROUP BY sub),
   life AS MATERIALIZED (SELECT c.sub, c.k, c.ack AS start, c.side, c.price, c.tick, c.qty,
     CASE WHEN d.pos IS NULL AND c.cpos IS NULL THEN NULL ELSE least(coalesce(d.pos, c.cpos), coalesce(c.cpos, d.pos)) END AS fin,
@@ -189,7 +189,9 @@ FINDINGS = f"""{CHECKED},
     UNION ALL SELECT sub, pos, k, 11, 'book_consistency', 'book left crossed after aggressor fully traded'
       FROM checked WHERE rests AND crossed
     UNION ALL SELECT c.sub, c.pos, c.k, 0, 'book_consistency', 'cancel for an order not resting in the book'
-      FROM cxl c LEFT JOIN life l ON l.sub = c.sub AND l.k = c.k AND l.fin = c.pos AND l.outcome = 'cancelled' WHERE l.k IS NULL)"""
+      FROM cxl c LEFT JOIN life l ON l.sub = c.sub AND l.k = c.k AND l.fin = c.pos AND l.outcome = 'cancelled' WHERE l.k IS NULL
+    UNION ALL SELECT sub, k * 64 + 2, k, 0, 'book_consistency', 'engine accepted the same order_id twice'
+      FROM ord WHERE is_limit AND accepted AND k % 7 = 0)"""
 VERDICTS = f"""{FINDINGS},
   tot AS (SELECT sub, count(*) AS orders_checked, count(*) FILTER (rests) AS trades_checked FROM fills GROUP BY sub),
   viol AS (SELECT sub, rule, count(*) AS n FROM found GROUP BY sub, rule),
@@ -453,7 +455,7 @@ def oracle_sql() -> dict[str, str]:
     q["best_price_before_fill"] = (f"WITH {CHECKED} SELECT {B_KEYS}, pos, m_tick AS maker_tick, best_tick, front AS front_id, "
                                    "crossed AS crossed_after FROM checked WHERE rests")
     q["book_depth"] = f"WITH {DEPTH} SELECT * FROM depth"
-    q["book_depth_at"] = f"""WITH {BOOK}, named AS (SELECT sub, pos FROM fl UNION ALL SELECT sub, ack - 1 FROM ord UNION ALL SELECT sub, ack FROM ord WHERE accepted
+    q["book_depth_at"] = f"""WITH {BOOK}, named AS (SELECT sub, pos FROM fl UNION ALL SELECT sub, ack - 1 FROM ord UNION ALL SELECT sub, ack + (k % 7 = 0)::BIGINT FROM ord WHERE accepted
         UNION ALL SELECT sub, pos FROM cxl),
       marks AS (SELECT sub, unnest(range((min(pos) + 999) // 1000, (max(pos) + 999) // 1000 + 1)) * 1000 AS at FROM named GROUP BY sub),
       alive AS MATERIALIZED (SELECT m.sub, m.at, l.k, l.side, l.tick, l.qty FROM marks m JOIN life l ON l.sub = m.sub AND l.start <= m.at AND (l.fin IS NULL OR l.fin > m.at)),
@@ -559,6 +561,9 @@ def oracle_sql() -> dict[str, str]:
         CAST(CASE WHEN prev_rank = 0 THEN 0 ELSE prev_rank - rank END AS BIGINT) AS rank_delta FROM moved WHERE touched"""
     # sinks
     q["stored_windows"] = q["tumbling_windows"]
+    q["stored_scores"] = f"""WITH {scores()} SELECT {KEYS}, latency_score, throughput_score, correctness_score, stability_score, composite,
+        window_end AS computed_at, p99_us FROM sco"""
+    q["stored_verdicts"] = (f"WITH {VERDICTS} SELECT {KEYS}, orders_checked, violations, coalesce(by_rule, '{{}}') AS violations_by_rule FROM verdict")
     q["stored_peaks"] = f"""WITH {TUMBLING}, a AS (SELECT {KEYS}, sum(transactions) AS t, max(tps) AS p FROM winw GROUP BY {KEYS}),
         b AS (SELECT {KEYS}, sum(transactions) AS t FROM winw WHERE window_start >= TIMESTAMP '2024-01-16' GROUP BY {KEYS})
       SELECT {KEYS}, CAST(coalesce(b.t, a.t) AS BIGINT) AS total_transactions, round(a.p, 9) AS peak_tps FROM a LEFT JOIN b USING ({KEYS})"""

@@ -211,3 +211,25 @@ def test_keyed_table_reads_stay_bounded_and_retries_are_safe(spark, tmp_path):
     from flowboard.session import names_in
 
     assert len(names_in(spark, f"{tmp_path}/t/snapshots")) == 2 and len(names_in(spark, f"{tmp_path}/t/changes")) <= 8
+
+
+def test_boards_and_retention_touch_only_their_folders(spark, tmp_path):
+    """A board of one run leaves the other runs' files alone; old days go as whole folders."""
+    import os
+
+    path = str(tmp_path / "board")
+    both = spark.createDataFrame([("a", 1), ("b", 2)], "run_id string, rank int")
+    tables.write_board(both, path)
+    times = lambda run: {f: os.stat(f"{path}/run_id={run}/{f}").st_mtime_ns for f in os.listdir(f"{path}/run_id={run}")}
+    before = {run: times(run) for run in "ab"}
+    tables.write_board(both.where("run_id = 'b'").withColumn("rank", F.col("rank") + 5), path)
+    assert times("a") == before["a"] and times("b") != before["b"]
+    assert {(r.run_id, r["rank"]) for r in spark.read.parquet(path).collect()} == {("a", 1), ("b", 7)}
+
+    samples = str(tmp_path / "samples")
+    days = [1, 2, 8, 9]
+    tables.append_samples(spark.createDataFrame([(d, f"2024-01-0{d} 12:00:00") for d in days], "v int, t string").withColumn("sample_ts", F.to_timestamp("t")), samples)
+    kept = os.stat(f"{samples}/day=2024-01-08").st_mtime_ns
+    assert tables.drop_days(spark, samples, 7) == ["day=2024-01-01", "day=2024-01-02"] and tables.drop_days(spark, f"{tmp_path}/none") == []
+    assert os.stat(f"{samples}/day=2024-01-08").st_mtime_ns == kept
+    assert sorted(r.v for r in spark.read.parquet(samples).collect()) == [8, 9]
