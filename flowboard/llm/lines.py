@@ -15,8 +15,8 @@ _KEY = ["doc_id", "t1", "t2"]
 def _windows(lines: Column, min_words: int) -> Column:
     """All shortest windows of `min_words` words or more that begin or end at each line.
 
-    `lines` lists (a, b, words) of the lines that hold words, so no window is longer than
-    `min_words` lines. A window is (s, e, fp, w1, w2): first and last line, its fingerprint (the
+    `lines` lists (a, b, words, at) of the lines that hold words, so no window is longer than
+    `min_words` lines. A window is (s, e, from, to, fp, w1, w2): first and last line among these and among all, its fingerprint (the
     least line hash in it) and 128 bits of hash over all its lines.
     """
     n = F.size(lines)
@@ -31,15 +31,19 @@ def _windows(lines: Column, min_words: int) -> Column:
     ahead = F.transform(F.sequence(F.lit(1), n), lambda i: F.struct(i.alias("s"), (i + grow(F.slice(lines, i, F.lit(min_words))) - 1).alias("e")))
     back = F.transform(F.sequence(F.lit(1), n), lambda i: F.struct(
         (i - grow(F.reverse(F.slice(lines, F.greatest(i - min_words + 1, F.lit(1)), F.least(i, F.lit(min_words))))) + 1).alias("s"), i.alias("e")))
-    spans = F.array_distinct(F.filter(F.concat(ahead, back), lambda w: w["s"] <= w["e"]))
+    # As numbers, since structs would be compared each with each.
+    number = lambda w: F.shiftleft(w["s"].cast("bigint"), 32) + w["e"]
+    spans = F.array_distinct(F.transform(F.filter(F.concat(ahead, back), lambda w: w["s"] <= w["e"]), number))
+    spans = F.transform(spans, lambda x: F.struct(F.shiftright(x, 32).cast("int").alias("s"), x.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int").alias("e")))
+    # Cut first, then the field: the other way round every window would copy all lines.
+    part = lambda w: F.slice(lines, w["s"], w["e"] - w["s"] + 1)
     return F.transform(spans, lambda w: F.struct(
-        w["s"].alias("s"), w["e"].alias("e"), F.array_min(F.slice(lines["a"], w["s"], w["e"] - w["s"] + 1)).alias("fp"),
-        F.xxhash64(F.slice(lines["a"], w["s"], w["e"] - w["s"] + 1)).alias("w1"),
-        F.xxhash64(F.slice(lines["b"], w["s"], w["e"] - w["s"] + 1)).alias("w2")))
+        w["s"].alias("s"), w["e"].alias("e"), F.element_at(lines, w["s"])["at"].alias("from"), F.element_at(lines, w["e"])["at"].alias("to"), F.array_min(part(w)["a"]).alias("fp"),
+        F.xxhash64(part(w)["a"]).alias("w1"), F.xxhash64(part(w)["b"]).alias("w2")))
 
 
 def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """Runs to delete: doc_id, t1, t2 (hashes of the text), s, e (lines with words, from 1).
+    """Runs to delete: doc_id, t1, t2 (hashes of the text), s, e (lines with words, from 1), from, to (the same among all lines).
 
     Lines without words are passed over. A run is deleted where the same lines, holding
     `min_words` words or more in all, occur earlier: in a document before it (by doc_id, nulls
@@ -53,7 +57,7 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     windows begin and end at every line, runs reach as far both ways as lines agree.
     """
     split = F.split(F.coalesce(F.col("text"), F.lit("")), "\n")
-    worded = F.transform(split, lambda x: F.struct(*[h.alias(k) for h, k in zip(hash_pair(x), "ab")], F.regexp_count(x, F.lit(r"[^ \t\r\f]+")).alias("words")))
+    worded = F.transform(split, lambda x, i: F.struct((i + 1).alias("at"), *[h.alias(k) for h, k in zip(hash_pair(x), "ab")], F.regexp_count(x, F.lit(r"[^ \t\r\f]+")).alias("words")))
     t1, t2 = hash_pair(F.coalesce(F.col("text"), F.lit("")))
     lines = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), t1.alias("t1"), t2.alias("t2"), F.filter(worded, lambda x: x["words"] > 0).alias("lines"))
     lines = lines.where(F.size("lines") > 0)
@@ -63,11 +67,11 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     place = F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "t1", "t2", "s", "e")
     first = likely.groupBy("w1", "w2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     same = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("t1") == F.col("first.t1")) & (F.col("t2") == F.col("first.t2"))
-    later = likely.join(first, ["w1", "w2"]).where(~same | (F.col("s") > F.col("first.e"))).select(*_KEY, "s", "e").distinct()
+    later = likely.join(first, ["w1", "w2"]).where(~same | (F.col("s") > F.col("first.e"))).select(*_KEY, "s", "e", "from", "to").distinct()
     by_doc = Window.partitionBy(*_KEY).orderBy("s", "e")
     reach = F.max("e").over(by_doc.rowsBetween(Window.unboundedPreceding, -1))
     runs = later.withColumn("opens", F.coalesce((F.col("s") > reach + 1).cast("int"), F.lit(1))).withColumn("run", F.sum("opens").over(by_doc))
-    runs = cut(runs.groupBy(*_KEY, "run").agg(F.min("s").alias("s"), F.max("e").alias("e")).drop("run"))
+    runs = cut(runs.groupBy(*_KEY, "run").agg(*[F.min(c).alias(c) for c in ("s", "from")], *[F.max(c).alias(c) for c in ("e", "to")]).drop("run"))
     drop(docs.sparkSession, windows)
     return runs
 
@@ -79,23 +83,21 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     words stay where they are. Documents that lose
     nothing keep their exact text; one that loses all lines gets an empty one. The first occurrence of any line always
     stays. Rows with the same doc_id and text are one document and get the same result: a repeated row is no repetition. An empty table
-    gives an empty result. A window is at most `min_words` lines, so long texts cost in proportion
+    gives an empty result. Runs are cut in one pass over a text's lines; a window is at most `min_words` lines, so long texts cost in proportion
     to their lines; a repeated line held by every row is one group of counts, and its windows
     join with one row.
     """
-    spans = repeated_runs(docs, min_words).groupBy(*_KEY).agg(F.sort_array(F.collect_list(F.struct("s", "e"))).alias("runs"))
+    spans = repeated_runs(docs, min_words).groupBy(*_KEY).agg(F.sort_array(F.collect_list(F.struct("from", "to", "s", "e"))).alias("runs"))
     t1, t2 = hash_pair(F.coalesce(F.col("text"), F.lit("")))
     rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("bigint").alias("k"), t1.alias("t1"), t2.alias("t2"))
     # Always sort-merge: text moves in proportion to the input, whether or not few documents have runs.
     met = rows.hint("merge").join(spans.withColumnRenamed("doc_id", "k0"), F.col("k").eqNullSafe(F.col("k0")) & (rows["t1"] == spans["t1"]) & (rows["t2"] == spans["t2"]), "left")
-    lines = F.split("row.text", "\n")
-    worded = F.transform(lines, lambda x: x.rlike(r"[^ \t\r\f]"))
-    place = F.transform(lines, lambda x, i: F.struct(x.alias("x"), i.alias("i"), x.rlike(r"[^ \t\r\f]").alias("worded")))
-    at = F.filter(F.transform(worded, lambda w, i: F.when(w, i)), lambda i: i.isNotNull())
-    gone = F.flatten(F.transform("runs", lambda r: F.slice(at, r["s"], r["e"] - r["s"] + 1)))
-    spans_of = F.transform("runs", lambda r: F.struct(F.element_at(at, r["s"]).alias("from"), F.element_at(at, r["e"]).alias("to")))
-    kept = F.filter(place, lambda p: ~p["worded"] | ~F.exists("cuts", lambda c: (c["from"] <= p["i"]) & (p["i"] <= c["to"])))
-    out = met.select("row", F.when(F.col("runs").isNotNull(), spans_of).alias("cuts"), F.when(F.col("runs").isNotNull(), F.size(gone)).otherwise(0).alias("lines_removed"))
-    text = F.when(F.col("cuts").isNull(), F.col("row.text")).otherwise(F.array_join(kept["x"], "\n"))
-    return out.select("row", text.alias("text"), "lines_removed").withColumn(
+    # One mark a line, laid out run by run, then one pass over lines and marks.
+    before = lambda i: F.when(i == 0, 0).otherwise(F.get("runs", i - 1)["to"])
+    marks = F.flatten(F.transform("runs", lambda r, i: F.concat(
+        F.array_repeat(F.lit(False), (r["from"] - before(i) - 1).cast("int")), F.array_repeat(F.lit(True), (r["to"] - r["from"] + 1).cast("int")))))
+    left = F.zip_with(F.split("row.text", "\n"), marks, lambda x, m: F.when(F.coalesce(m, F.lit(False)) & x.rlike(r"[^ \t\r\f]"), F.lit(None)).otherwise(x))
+    text = F.when(F.col("runs").isNull(), F.col("row.text")).otherwise(F.array_join(left, "\n"))
+    gone = F.aggregate("runs", F.lit(0), lambda n, r: n + r["e"] - r["s"] + 1)
+    return met.select("row", text.alias("text"), F.when(F.col("runs").isNull(), 0).otherwise(gone).alias("lines_removed")).withColumn(
         "chars_removed", F.coalesce(F.length("row.text") - F.length("text"), F.lit(0)))
