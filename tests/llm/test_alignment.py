@@ -76,7 +76,7 @@ ODD = [None, "", " ", "  ", "a", " a", "a ", "a  b", "x\n y ", "\n\n", "<|endoft
 
 
 def test_odd_texts(make):
-    check(make, [(i, t) for i, t in enumerate(ODD)] + [(None, "a b"), (3, "a b"), (3, "a b")])
+    check(make, [(i, t) for i, t in enumerate(ODD)] + [(None, "a b"), (3, "a b"), (3, "a b"), (2**60 + 1, "a b")])
 
 
 @pytest.mark.parametrize("parcel, radices", [(20, 3), (100, 64), (10**6, 1)])

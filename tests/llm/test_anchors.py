@@ -71,6 +71,7 @@ def test_odd_rows(make):
     rows = [(None, long), (1, long), (2, None), (3, ""), (4, " \n\t "), (5, "x y z\x1c" + long), (6, long.replace(" ", "\n")),
             (6, long.replace(" ", "\x0b")), (7, long[:50]), (1, long), (8, "\u0000 \u0085 " * 30), (9, long.upper())]
     rows[7] = (60, rows[7][1])
+    rows.append((2**60 + 1, long + " last"))
     check(make, rows)
     extra = make([(d, t, 1, "n", 2, 3, "w") for d, t in rows], ODD)
     assert {(r.doc_id, r.n_removed) for r in dedup_substrings(extra).collect()} == {(r.doc_id, r.n_removed) for r in dedup_substrings(make(rows)).collect()}
