@@ -52,7 +52,7 @@ def read_current(spark: SparkSession, path: str, keys: Sequence[str], keep_max:
 class KeyedTable:
     """Current row per key: a snapshot and the changes of the batches after it.
 
-    Every `every` batches a snapshot is written and named by one marker file; until the marker is there, readers use the one
+    After `every` batches of changes a snapshot is written and named by one marker file; until the marker is there, readers use the one
     before. A read takes one snapshot and fewer than 2 x `every` changes however old the table is. Reading as of a batch and writing the
     same batch again are safe for the last batch, retried any number of times: its marker is passed over, and goes when it is written again. Folders
     below `path`: changes, snapshots, markers. Snapshots are laid out in ranges of the first key, so filters on it
@@ -97,7 +97,7 @@ class KeyedTable:
             if batch >= batch_id:  # of an attempt at this batch that is now made again
                 remove(spark, f"{self.path}/markers/{batch:012d}--{folder}")
         write_changes(rows, f"{self.path}/changes", batch_id)
-        if (batch_id + 1) % self.every:
+        if len(self.sources(spark, batch_id + 1)[1]) < self.every:
             return
         folder, state = f"{batch_id}-{uuid.uuid4().hex}", self._newest(self._log(spark, batch_id + 1))
         state = state if self.alive is None else state.where(self.alive)
