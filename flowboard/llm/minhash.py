@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowboard.llm.common import cut, drop, hash_pair
@@ -18,6 +18,8 @@ SIGNATURE = BANDS * ROWS
 SIMILARITY = 0.8
 #: Standard deviations below the threshold from which the estimate rules a pair out.
 SLACK = 4.5
+#: Cells that count shingles of texts in crowded buckets, to compare by rare ones first.
+CELLS = 1 << 20
 
 
 def signature(elements: np.ndarray, weights: np.ndarray, size: int = SIGNATURE) -> np.ndarray:
@@ -153,6 +155,55 @@ def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, least: float
     return linked
 
 
+def _across(crowd: DataFrame, least: float) -> DataFrame:
+    """(u, v), u < v: all pairs of different labels in `crowd` (u, label, text) that may reach `least`, and few others.
+
+    Let a and b be the shares of two texts' weight on shingles the other lacks. Then their probability Jaccard is at most
+    1 / (1 + a / (1 - a) + b / (1 - b)): in the sum over shared x, the inner maxima are no less than the shingles of one side
+    alone plus those of the other, and what follows is concave in the shared weights. Order all shingles in one way, the same for all
+    texts. What precedes the first shared shingle is not shared, so at that one the odds of the weight before it, added
+    for both texts, are at most 1 / `least` - 1. Pairs are joined on shingles where that holds; one of the two is
+    always within half of it. Any order loses nothing; rare ones first keeps the pairs few, since an edit's own shingles
+    then stand before those the group shares. Counts for the order are kept in CELLS cells, a table of fixed size.
+    """
+    room = 1 / least - 1 + 1e-9
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        cells = np.zeros(CELLS, dtype=np.int64)
+        for batch in batches:
+            for text in batch["text"]:
+                np.add.at(cells, (_weighted(text)[0] % np.uint64(CELLS)).astype(np.int64), 1)
+        used = np.flatnonzero(cells)
+        yield pd.DataFrame({"cell": used, "n": cells[used]})
+
+    counted = crowd.select("text").mapInPandas(count, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+    cells = np.zeros(CELLS, dtype=np.int64)
+    cells[counted["cell"].to_numpy(dtype=np.int64)] = counted["n"].to_numpy(dtype=np.int64)
+    shared = crowd.sparkSession.sparkContext.broadcast(cells)
+
+    def fronts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [(np.array([], dtype=np.int64),) * 3 + (np.array([]),)]
+            for u, label, text in zip(batch["u"], batch["label"], batch["text"]):
+                x, w = _weighted(text)
+                order = np.lexsort((x, shared.value[(x % np.uint64(CELLS)).astype(np.int64)]))
+                before = np.concatenate([[0], np.cumsum(w[order])[:-1]]) / w.sum()
+                odds = before / (1 - before)
+                front = int(np.searchsorted(odds, room, side="right"))
+                rows.append((x[order[:front]].view(np.int64), np.full(front, u), np.full(front, label), odds[:front]))
+            yield pd.DataFrame(dict(zip(("x", "u", "label", "odds"), map(np.concatenate, zip(*rows)))))
+
+    front = cut(crowd.mapInPandas(fronts, "x bigint, u bigint, label bigint, odds double"))
+    # Of two labels at a shingle, one is not its commonest there: a large class never meets itself.
+    per = front.groupBy("x", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("x").agg(
+        F.max_by("label", F.struct("n", "label")).alias("most"), F.count(F.lit(1)).alias("labels")).where("labels > 1").select("x", "most")
+    met = cut(front.join(per, "x"))
+    drop(crowd.sparkSession, front)
+    less = met.where("label <> most").select("x", F.col("u").alias("v"), F.col("label").alias("other"), F.col("odds").alias("more"))
+    both = met.join(less, "x").where((F.col("label") != F.col("other")) & (F.col("odds") + F.col("more") <= room))
+    return both.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+
+
 def near_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """Class of every document: doc_id, t1, t2 (hashes of its text), class_id, class_size, is_first.
 
@@ -163,9 +214,9 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     one document and get the same values. An empty table gives no rows.
 
     Nodes that share a band meet in a bucket. First each bucket's hub, the node that shares most
-    buckets with most others, is compared with all others. Where a bucket still spans several classes, further of its nodes, by the
-    same order, are compared with those of other classes, ever more in each round, until none is left to compare. A pair is formed in one bucket only:
-    no pair within a class is ever formed, none across classes is left out, and no bucket is held in one task.
+    buckets with most others, is compared with all others. Where a bucket still spans several classes, its nodes are compared
+    across classes, but only those pairs that an exact bound on their rarest shingles allows to be similar enough (`_across`). No pair
+    within a class is formed there, no link across classes is left out, and no bucket is held in one task.
     """
     spark = docs.sparkSession
     sketched = cut(_sketches(docs))
@@ -188,29 +239,15 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     texts = _texts(members, nodes, docs)
     links = _verified(tested, nodes, texts, similarity)
     labels = cut(component_labels(links))
-    rest, takes = members.where("u <> hub").drop("hub"), 16
-    while True:
-        # Buckets that still span classes, and their next nodes by order.
-        of = rest.join(labels, "u", "left").select("bucket", "u", "met", F.coalesce("label", "u").alias("label"))
-        mixed = of.groupBy("bucket").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a < b").select("bucket")
-        of = cut(of.join(mixed, "bucket", "left_semi").join(nodes.select("u", bands.alias("bands")), "u"))
-        if of.isEmpty():
-            break
-        by = Window.partitionBy("bucket").orderBy(F.desc("met"), "u")
-        heads = of.withColumn("k", F.row_number().over(by)).where(F.col("k") <= takes).drop("k")
-        heads = cut(heads.select("bucket", F.col("u").alias("head"), F.col("label").alias("head_label"), F.col("bands").alias("head_bands")))
-        # Of all buckets two nodes share, they meet in that of their first common band.
-        common = F.filter(F.zip_with("bands", "head_bands", lambda a, b: F.when(a == b, a)), lambda x: x.isNotNull())
-        met = (of["bucket"] == heads["bucket"]) & (F.col("label") != F.col("head_label")) & (F.element_at(common, 1) == of["bucket"])
-        pairs = of.join(heads, met).select(F.least("u", "head").alias("u"), F.greatest("u", "head").alias("v")).distinct()
-        pairs = cut(pairs.join(tested, ["u", "v"], "left_anti"))
-        tested = tested.unionByName(pairs)
-        linked = _verified(pairs, nodes, texts, similarity)
-        if not linked.isEmpty():
-            links = links.unionByName(linked)
-            labels = cut(component_labels(links))
-        rest = cut(of.join(heads.select("bucket", F.col("head").alias("u")), ["bucket", "u"], "left_anti").select("bucket", "u", "met"))
-        takes *= 16
+    # Buckets that still span classes: their nodes are compared across classes where an exact bound allows a link.
+    of = members.select("bucket", "u").join(labels, "u", "left").select("bucket", "u", F.coalesce("label", "u").alias("label"))
+    mixed = of.groupBy("bucket").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a < b").select("bucket")
+    crowd = cut(texts.join(of.join(mixed, "bucket", "left_semi").select("u", "label").distinct(), "u"))
+    pairs = cut(_across(crowd, similarity).join(tested, ["u", "v"], "left_anti"))
+    linked = _verified(pairs, nodes, texts, similarity)
+    if not linked.isEmpty():
+        labels = cut(component_labels(links.unionByName(linked)))
+    drop(spark, crowd)
     drop(spark, texts)
     named = nodes.join(labels, "u", "left").select(
         "c1", "c2", F.coalesce("label", "u").alias("label"), place.alias("node_at"))

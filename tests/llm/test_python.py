@@ -442,3 +442,22 @@ def test_shingles():
     assert len(words.shingles(words.word_hashes("a b c d e f"))) == 2
     assert len(words.shingles(words.word_hashes("a b"))) == 1
     assert len(words.shingles(words.word_hashes("..."))) == 0
+
+
+def test_pairs_across_classes_are_few_and_hold_all_links(make):
+    """A group of texts 0.6 to 0.9 alike: no link is lost, and pairs that cannot be links are hardly formed."""
+    rng = random.Random(8)
+    core = prose(91, 150).split()
+    rows = []
+    for i in range(240):
+        text = core[:]
+        for at in rng.sample(range(150), rng.randrange(2, 10)):
+            text[at] = f"z{rng.randrange(900)}"
+        rows.append((i, i % 200, " ".join(text)))
+    rows += [(300, 300, "one two"), (301, 301, "one two one two one two one two")]
+    sets = {u: minhash._weighted(t) for u, _, t in rows}
+    links = {(a, b) for a, la, _ in rows for b, lb, _ in rows if a < b and la != lb and minhash.probability_jaccard(*sets[a], *sets[b]) >= 0.8}
+    got = {(r["u"], r["v"]) for r in minhash._across(make(rows, "u bigint, label bigint, text string"), 0.8).collect()}
+    every = sum(la != lb for a, la, _ in rows for b, lb, _ in rows if a < b)
+    assert links and links <= got
+    assert len(got) < every / 10
