@@ -20,6 +20,7 @@ SIMILARITY = 0.8
 SLACK = 4.5
 #: Cells that count shingles of texts in crowded buckets, to compare by rare ones first.
 CELLS = 1 << 20
+BLOCK = 1 << 10
 
 
 def signature(elements: np.ndarray, weights: np.ndarray, size: int = SIGNATURE) -> np.ndarray:
@@ -176,9 +177,22 @@ def _across(crowd: DataFrame, least: float) -> DataFrame:
         used = np.flatnonzero(cells)
         yield pd.DataFrame({"cell": used, "n": cells[used]})
 
-    counted = crowd.select("text").mapInPandas(count, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
-    cells = np.zeros(CELLS, dtype=np.int64)
-    cells[counted["cell"].to_numpy(dtype=np.int64)] = counted["n"].to_numpy(dtype=np.int64)
+    def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for at, n in zip(batch["at"], batch["n"]):
+                part = np.zeros(BLOCK, dtype="<u4")
+                part[np.asarray(at, dtype=np.int64)] = np.minimum(np.asarray(n, dtype=np.int64), 0xFFFFFFFF)
+                out.append(part.tobytes())
+            yield pd.DataFrame({"block": batch["block"], "part": out})
+
+    # The driver gets CELLS numbers of 4 bytes, in CELLS / BLOCK rows, whatever the size of the table.
+    summed = crowd.select("text").mapInPandas(count, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n"))
+    blocks = summed.groupBy(F.shiftright("cell", BLOCK.bit_length() - 1).alias("block")).agg(F.collect_list(F.struct((F.col("cell") % BLOCK).alias("at"), "n")).alias("cells"))
+    blocks = blocks.select("block", "cells.at", "cells.n").mapInPandas(packed, "block bigint, part binary")
+    cells = np.zeros(CELLS, dtype="<u4")
+    for row in blocks.collect():
+        cells[row["block"] * BLOCK:(row["block"] + 1) * BLOCK] = np.frombuffer(row["part"], dtype="<u4")
     shared = crowd.sparkSession.sparkContext.broadcast(cells)
 
     def fronts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
