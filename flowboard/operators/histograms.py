@@ -121,12 +121,12 @@ def import_dense(df: DataFrame, keys: Sequence[str], encoded: str, layout: hdr.L
 
 def export_dense(hist: DataFrame, keys: Sequence[str], name: str = "hdr_buckets") -> DataFrame:
     """Dense JSON count array in base64, the wire form; at most `slots` entries per key."""
-    filled = F.map_from_entries(F.collect_list(F.struct("bucket", "n")))
-    dense = F.transform(
-        F.sequence(F.lit(0), F.col("top")),
-        lambda i: F.coalesce(F.try_element_at("filled", i), F.lit(0).cast("bigint")),
-    )
+    zero = F.lit(0).cast("bigint")
+    before = lambda i: F.when(i == 0, -1).otherwise(F.get("filled", i - 1)["bucket"])
+    # Every entry brings the empty slots in front of it, so the work is one step per slot.
+    dense = F.flatten(F.transform("filled", lambda x, i: F.concat(
+        F.array_repeat(zero, (x["bucket"] - before(i) - 1).cast("int")), F.array(F.coalesce(x["n"], zero)))))
     return (
-        hist.groupBy(*keys).agg(filled.alias("filled"), F.max("bucket").alias("top"))
+        hist.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("bucket", "n"))).alias("filled"))
         .select(*keys, F.base64(F.to_json(dense).cast("binary")).alias(name))
     )
