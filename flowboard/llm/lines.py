@@ -31,10 +31,11 @@ def _windows(lines: Column, min_words: int) -> Column:
     ahead = F.transform(F.sequence(F.lit(1), n), lambda i: F.struct(i.alias("s"), (i + grow(F.slice(lines, i, F.lit(min_words))) - 1).alias("e")))
     back = F.transform(F.sequence(F.lit(1), n), lambda i: F.struct(
         (i - grow(F.reverse(F.slice(lines, F.greatest(i - min_words + 1, F.lit(1)), F.least(i, F.lit(min_words))))) + 1).alias("s"), i.alias("e")))
-    # As numbers, since structs would be compared each with each.
-    number = lambda w: F.shiftleft(w["s"].cast("bigint"), 32) + w["e"]
+    # As numbers, since structs would be compared each with each; dense ones, since s and e in one half each would share few hash codes.
+    number = lambda w: w["s"].cast("bigint") * min_words + w["e"] - w["s"]
     spans = F.array_distinct(F.transform(F.filter(F.concat(ahead, back), lambda w: w["s"] <= w["e"]), number))
-    spans = F.transform(spans, lambda x: F.struct(F.shiftright(x, 32).cast("int").alias("s"), x.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int").alias("e")))
+    spans = F.transform(spans, lambda x: F.struct(
+        F.floor(x / min_words).cast("int").alias("s"), (F.floor(x / min_words) + x % min_words).cast("int").alias("e")))
     # Cut first, then the field: the other way round every window would copy all lines.
     part = lambda w: F.slice(lines, w["s"], w["e"] - w["s"] + 1)
     return F.transform(spans, lambda w: F.struct(

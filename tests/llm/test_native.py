@@ -275,15 +275,15 @@ def test_chats_empty_and_templates(make):
             chat.Template(**bad)
 
 
-def test_lines_of_one_text_of_four_thousand_runs(make):
-    """Repeated runs parted by unique lines, in one text of 16,000 lines."""
+def test_lines_of_one_text_of_twenty_thousand_runs(make):
+    """Repeated runs parted by unique lines, in one text of 80,000 lines."""
     import time
 
     run = "\n".join(prose(i, 20) for i in range(3))
-    text = "\n".join(f"{run}\nown {i}" for i in range(4_000))
+    text = "\n".join(f"{run}\nown {i}" for i in range(20_000))
     begin = time.perf_counter()
     got = lines.dedup_lines(make([(1, text), (2, run)])).collect()
     assert time.perf_counter() - begin < 60
     by = {r.row.doc_id: r for r in got}
-    assert by[1].text == run + "\n" + "\n".join(f"own {i}" for i in range(4_000)) and by[1].lines_removed == 3 * 3_999
+    assert by[1].text == run + "\n" + "\n".join(f"own {i}" for i in range(20_000)) and by[1].lines_removed == 3 * 19_999
     assert by[2].text == "" and by[2].lines_removed == 3
