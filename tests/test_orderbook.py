@@ -1,7 +1,7 @@
 """Set-based book and rules against a model that derives every state anew."""
 
 import pytest
-from book_cases import literal_cases, random_stream
+from book_cases import Stream, literal_cases, random_stream
 from book_model import Model
 
 from flowboard import schemas
@@ -83,3 +83,39 @@ def test_depth_at_many_positions(spark):
 def test_one_hot_submission(spark):
     streams = {"hot": random_stream("hot", 7, n=4000), "cold": random_stream("cold", 8, n=60)}
     compare(spark, streams, 256)
+
+
+def test_best_prices_are_looked_up_where_the_book_changes(spark, monkeypatch):
+    """Two resting orders and many fills of them: as many look-ups as changes of the levels, not as fills."""
+    s = Stream("many")
+    s.rest(1, "buy", 100, 1000)
+    s.rest(2, "buy", 101, 1000)
+    for i in range(200):
+        s.submit(10 + i, "sell", 0, 1, "market")
+        s.fill(10 + i, 1 + i % 2, 100 + i % 2, 1, 0)
+    asked, stab = [], rules.stab
+
+    def counted(intervals, points, *args):
+        asked.append(points.count())
+        return stab(intervals, points, *args)
+
+    monkeypatch.setattr(rules, "stab", counted)
+    compare(spark, {"many": s.rows}, 1 << 20)
+    assert 0 < sum(asked) <= 8
+
+
+def test_order_with_more_rows_than_a_chunk(spark):
+    """It is cut into chunks, others are scanned whole; reused ids and fills of fills on either side."""
+    s = Stream("big")
+    s.rest(1, "buy", 100, 60)
+    for i in range(80):
+        s.rest(10 + i, "sell", 100, 2)
+        s.fill(10 + i, 1 if i % 3 else 9 + i, 100, 1, 1)
+        if i % 20 == 19:
+            s.rest(1, "buy", 100, 10)
+    streams = {"big": s.rows, "other": random_stream("other", 31, n=80, irregular=True)}
+    events = spark.createDataFrame([tuple(e.values()) for rows in streams.values() for e in rows], schemas.ORDER_EVENT)
+    cut_up = orderbook._in_chunks(orderbook.order_log(events, 16), 16)
+    assert "chunk" in cut_up.columns and cut_up.where("oid = 1 and submission_id = 'big'").select("chunk").distinct().count() > 3
+    assert "chunk" not in orderbook._in_chunks(orderbook.order_log(events, 1 << 20), 1 << 20).columns
+    compare(spark, streams, 16)
