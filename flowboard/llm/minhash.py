@@ -49,12 +49,13 @@ def signature(elements: np.ndarray, weights: np.ndarray, size: int = SIGNATURE)
         latest = first.max()
         when, slot, who = when.ravel(), slot.ravel(), np.repeat(live, many)
         soon = np.flatnonzero(when < latest)
-        soon = soon[np.lexsort((when[soon], slot[soon]))]
-        at = np.unique(slot[soon], return_index=True)
-        best = soon[at[1]]
-        better = when[best] < first[at[0]]
-        first[at[0][better]] = when[best[better]]
-        owner[at[0][better]] = who[best[better]]
+        when, slot, who = when[soon], slot[soon], who[soon]
+        # The least per component, without sorting; of equal points the earlier one stays.
+        least = first.copy()
+        np.minimum.at(least, slot, when)
+        won = np.flatnonzero((when == least[slot]) & (when < first[slot]))[::-1]
+        owner[slot[won]] = who[won]
+        first = least
         stay = time < first.max()
         live, time, rate = live[stay], time[stay], rate[stay]
     return owner
