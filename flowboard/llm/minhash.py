@@ -21,6 +21,8 @@ SLACK = 4.5
 #: Cells that count shingles of texts in crowded buckets, to compare by rare ones first.
 CELLS = 1 << 20
 BLOCK = 1 << 10
+#: So many times as much weight as its reference a text may have, else it is compared without one.
+LONGER = 1.25
 
 
 def signature(elements: np.ndarray, weights: np.ndarray, size: int = SIGNATURE) -> np.ndarray:
@@ -157,16 +159,20 @@ def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, least: float
     return linked
 
 
-def _across(crowd: DataFrame, least: float) -> DataFrame:
+def _across(crowd: DataFrame, least: float, texts: DataFrame | None = None) -> DataFrame:
     """(u, v), u < v: all pairs of different labels in `crowd` (u, label, text) that may reach `least`, and few others.
 
     Let a and b be the shares of two texts' weight on shingles the other lacks. Then their probability Jaccard is at most
     1 / (1 + a / (1 - a) + b / (1 - b)): in the sum over shared x, the inner maxima are no less than the shingles of one side
-    alone plus those of the other, and what follows is concave in the shared weights. Order all shingles in one way, the same for all
-    texts. What precedes the first shared shingle is not shared, so at that one the odds of the weight before it, added
-    for both texts, are at most 1 / `least` - 1. Pairs are joined on shingles where that holds; one of the two is
-    always within half of it. Any order loses nothing; rare ones first keeps the pairs few, since an edit's own shingles
-    then stand before those the group shares. Counts for the order are kept in CELLS cells, a table of fixed size.
+    alone plus those of the other, and what follows is concave in the shared weights. So the odds of a and b, added, are at
+    most 1 / `least` - 1. Order all features of texts in one way, the same for all texts. What precedes the first shared one is not shared, and of what
+    follows, one text's surplus in number is not. Pairs are joined on features where the odds of these parts allow a link. Any order
+    loses nothing; rare ones first keeps the pairs few. Counts for the order are kept in CELLS cells, a table of fixed size.
+
+    Texts with different references are joined on their shingles. Those with the same one (`ref`, the `u` of one of `texts`) are joined on what parts them from
+    it: shingles they add, then shingles they leave out, then a last one that all have. A shingle added by one alone is
+    missing in the other, one left out by one alone is the other's own. Two edited copies of a text share nearly all shingles, but few of
+    their edits, so they meet here only where their edits agree, not because they stem from the same text.
     """
     room = 1 / least - 1 + 1e-9
 
@@ -197,26 +203,61 @@ def _across(crowd: DataFrame, least: float) -> DataFrame:
     shared = crowd.sparkSession.sparkContext.broadcast(cells)
 
     def fronts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rarity = lambda x: shared.value[(x % np.uint64(CELLS)).astype(np.int64)].astype(np.int64)
+        last, held, most = None, None, None
         for batch in batches:
-            rows = [(np.array([], dtype=np.int64),) * 3 + (np.array([]),)]
-            for u, label, text in zip(batch["u"], batch["label"], batch["text"]):
+            rows = []
+            for u, label, ref, text, ref_text in zip(batch["u"], batch["label"], batch["ref"], batch["text"], batch["ref_text"]):
+                if ref != last:
+                    held, weights = _weighted(ref_text)
+                    last, most = ref, LONGER * weights.sum()
                 x, w = _weighted(text)
-                order = np.lexsort((x, shared.value[(x % np.uint64(CELLS)).astype(np.int64)]))
-                before = np.concatenate([[0], np.cumsum(w[order])[:-1]]) / w.sum()
-                odds = before / (1 - before)
-                front = int(np.searchsorted(odds, room, side="right"))
-                rows.append((x[order[:front]].view(np.int64), np.full(front, u), np.full(front, label), odds[:front]))
-            yield pd.DataFrame(dict(zip(("x", "u", "label", "odds"), map(np.concatenate, zip(*rows)))))
-
-    front = cut(crowd.mapInPandas(fronts, "x bigint, u bigint, label bigint, odds double"))
-    # Of two labels at a shingle, one is not its commonest there: a large class never meets itself.
-    per = front.groupBy("x", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("x").agg(
-        F.max_by("label", F.struct("n", "label")).alias("most"), F.count(F.lit(1)).alias("labels")).where("labels > 1").select("x", "most")
-    met = cut(front.join(per, "x"))
+                n = w.sum()
+                part = ref if n <= most else -1 - u  # what is much longer has no reference
+                order = np.lexsort((x, rarity(x)))
+                before = np.concatenate([[0], np.cumsum(w[order])[:-1]]) / n
+                front = int(np.searchsorted(before / (1 - before), room, side="right"))
+                at = np.arange(front)
+                rows.append((np.full(front, -1), x[order[:front]].view(np.int64), np.full(front, part), before[:front], 0 * at, len(x) - at, 0 * at, u, label, n))
+                if part != ref:
+                    continue
+                own = ~np.isin(x, held, assume_unique=True)
+                more, less = x[own], held[~np.isin(held, x, assume_unique=True)]
+                order, gone = np.lexsort((more, rarity(more))), np.lexsort((less, -rarity(less)))
+                features = np.concatenate([more[order].view(np.int64), ~less[gone].view(np.int64), [0]])
+                at = np.arange(len(features))
+                added, left_out = np.minimum(at, len(more)), np.maximum(at - len(more), 0)
+                before = np.concatenate([[0], np.cumsum(w[own][order])])[added] / n
+                with np.errstate(divide="ignore"):
+                    front = int(np.searchsorted(before / (1 - before) + left_out / np.maximum(most - left_out, 0), room, side="right"))
+                rows.append((np.full(front, ref), features[:front], np.full(front, label), before[:front], left_out[:front], (len(more) - added)[:front],
+                             (len(less) - left_out)[:front], u, label, n))
+            if rows:
+                sizes = [len(r[0]) for r in rows]
+                out = dict(zip(("space", "x", "part", "before", "out_before", "to_come", "out_to_come"), map(np.concatenate, list(zip(*rows))[:7])))
+                yield pd.DataFrame(out | {c: np.repeat([r[i] for r in rows], sizes) for i, c in ((7, "u"), (8, "label"), (9, "n"))})
+
+    if texts is None:
+        of = crowd.select("*", (-1 - F.col("u")).alias("ref"), F.lit("").alias("ref_text"))
+    else:
+        of = crowd.join(texts.select(F.col("u").alias("ref"), F.col("text").alias("ref_text")), "ref")
+    kept = "before double, out_before int, to_come int, out_to_come int"
+    front = cut(of.select("u", "label", "ref", "text", "ref_text").mapInPandas(fronts, f"space bigint, x bigint, part bigint, {kept}, u bigint, label bigint, n bigint"))
+    # Parted by reference among all texts, by label among those of one reference. Of two parts at a feature, one is not its commonest there: a large part never meets itself.
+    key = ["space", "x"]
+    per = front.groupBy(*key, "part").agg(F.count(F.lit(1)).alias("many")).groupBy(*key).agg(
+        F.max_by("part", F.struct("many", "part")).alias("most"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select(*key, "most")
+    met = cut(front.join(per, key))
     drop(crowd.sparkSession, front)
-    less = met.where("label <> most").select("x", F.col("u").alias("v"), F.col("label").alias("other"), F.col("odds").alias("more"))
-    both = met.join(less, "x").where((F.col("label") != F.col("other")) & (F.col("odds") + F.col("more") <= room))
-    return both.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    less = met.where("part <> most").select(*key, *[F.col(c).alias(f"v_{c}") for c in ("part", "before", "out_before", "to_come", "out_to_come", "u", "label", "n")])
+
+    def odds(mine: str, other: str):
+        surplus = F.greatest(F.col(f"{mine}to_come") - F.col(f"{other}to_come"), F.lit(0)) + F.greatest(F.col(f"{other}out_to_come") - F.col(f"{mine}out_to_come"), F.lit(0))
+        share = F.col(f"{mine}before") + (F.col(f"{other}out_before") + surplus) / F.col(f"{mine}n")
+        return F.when(share < 1, share / (1 - share))  # null: nothing is shared
+
+    both = met.join(less, key).where((F.col("part") != F.col("v_part")) & (F.col("label") != F.col("v_label")) & (odds("", "v_") + odds("v_", "") <= room))
+    return both.select(F.least("u", "v_u").alias("u"), F.greatest("u", "v_u").alias("v")).distinct()
 
 
 def near_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -230,7 +271,7 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
 
     Nodes that share a band meet in a bucket. First each bucket's hub, the node that shares most
     buckets with most others, is compared with all others. Where a bucket still spans several classes, its nodes are compared
-    across classes, but only those pairs that an exact bound on their rarest shingles allows to be similar enough (`_across`). No pair
+    across classes, but only those pairs that an exact bound on their rarest shingles and edits allows to be similar enough (`_across`). No pair
     within a class is formed there, no link across classes is left out, and no bucket is held in one task.
     """
     spark = docs.sparkSession
@@ -246,7 +287,7 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     rank = members.groupBy("u").agg(F.sum("n").alias("met"))
     ranked = cut(members.select("bucket", "u").join(rank, "u"))
     drop(spark, members)
-    hubs = ranked.groupBy("bucket").agg(F.max(F.struct("met", (-F.col("u")).alias("u"))).alias("hub")).select("bucket", (-F.col("hub.u")).alias("hub"))
+    hubs = ranked.groupBy("bucket").agg(F.max(F.struct("met", (-F.col("u")).alias("u"))).alias("top")).select("bucket", "top", (-F.col("top.u")).alias("hub"))
     members = cut(ranked.join(hubs, "bucket"))
     drop(spark, ranked)
     pair = [F.least("u", "hub").alias("u"), F.greatest("u", "hub").alias("v")]
@@ -257,8 +298,10 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     # Buckets that still span classes: their nodes are compared across classes where an exact bound allows a link.
     of = members.select("bucket", "u").join(labels, "u", "left").select("bucket", "u", F.coalesce("label", "u").alias("label"))
     mixed = of.groupBy("bucket").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a < b").select("bucket")
-    crowd = cut(texts.join(of.join(mixed, "bucket", "left_semi").select("u", "label").distinct(), "u"))
-    pairs = cut(_across(crowd, similarity).join(tested, ["u", "v"], "left_anti"))
+    # The hub that meets most is what an edited copy is described by.
+    refs = members.groupBy("u").agg((-F.max("top").getField("u")).alias("ref"))
+    crowd = cut(texts.join(of.join(mixed, "bucket", "left_semi").select("u", "label").distinct().join(refs, "u"), "u"))
+    pairs = cut(_across(crowd, similarity, texts).join(tested, ["u", "v"], "left_anti"))
     linked = _verified(pairs, nodes, texts, similarity)
     if not linked.isEmpty():
         labels = cut(component_labels(links.unionByName(linked)))

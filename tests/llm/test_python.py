@@ -461,3 +461,54 @@ def test_pairs_across_classes_are_few_and_hold_all_links(make):
     every = sum(la != lb for a, la, _ in rows for b, lb, _ in rows if a < b)
     assert links and links <= got
     assert len(got) < every / 10
+
+
+def test_edited_copies_are_compared_where_their_edits_agree(make):
+    """Words replaced, left out or added, ends cut off, parts repeated, in copies of two texts: no link is lost, whatever the references."""
+    rng = random.Random(11)
+    cores = [prose(92, 130).split(), prose(93, 90).split()]
+    rows = [(i, i, i, " ".join(core)) for i, core in enumerate(cores)]
+    for i in range(2, 260):
+        core = i % 2 if i < 240 else 0
+        text = cores[core][:]
+        for _ in range(rng.randrange(1, 6)):
+            at, how = rng.randrange(len(text)), rng.randrange(5)
+            if how < 2:
+                text[at] = f"y{rng.randrange(3)}" if how else f"y{i}"
+            elif how == 2:
+                del text[at:at + rng.randrange(1, 4)]
+            elif how == 3:
+                text = text[:len(text) - rng.randrange(12)]
+            else:
+                text += text[at:at + rng.randrange(5, 40)] * rng.randrange(1, 3)
+        rows.append((i, i % 150 if i % 3 else 0, core if i % 20 else 1 - core, " ".join(text)))
+    sets = {u: minhash._weighted(t) for u, _, _, t in rows}
+    every = [(a, b) for a, la, _, _ in rows for b, lb, _, _ in rows if a < b and la != lb]
+    links = {(a, b) for a, b in every if minhash.probability_jaccard(*sets[a], *sets[b]) >= 0.8}
+    crowd = make(rows, "u bigint, label bigint, ref bigint, text string")
+    got = {(r["u"], r["v"]) for r in minhash._across(crowd, 0.8, crowd.where("u < 2").select("u", "text")).collect()}
+    assert len(links) > 1000 and links <= got <= set(every)
+
+
+def test_pairs_of_edited_copies_grow_with_the_copies(make, monkeypatch):
+    """Copies of one text with a few words replaced, 0.6 to 0.9 like each other: pairs across classes are fewer than the copies."""
+    rng = random.Random(12)
+    core = prose(94, 150).split()
+    rows = [(0, " ".join(core))]
+    for i in range(1, 300):
+        text = core[:]
+        for at in rng.sample(range(150), rng.randrange(1, 8)):
+            text[at] = f"x{i}at{at}"
+        rows.append((i, " ".join(text)))
+    sets = [minhash._weighted(t) for _, t in rows]
+    formed, verified = [], minhash._verified
+
+    def counted_pairs(pairs, *args):
+        formed.append(pairs.count())
+        return verified(pairs, *args)
+
+    monkeypatch.setattr(minhash, "_verified", counted_pairs)
+    got = {r["doc_id"]: r["class_id"] for r in minhash.near_classes(make(rows)).collect()}
+    linked = [(i, j) for i in range(300) for j in range(i) if minhash.probability_jaccard(*sets[i], *sets[j]) >= 0.8]
+    assert all(got[i] == got[j] for i, j in linked) and 50 < len(set(got.values())) < 250
+    assert len(formed) == 2 and formed[1] < 300
