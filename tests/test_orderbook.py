@@ -119,3 +119,24 @@ def test_order_with_more_rows_than_a_chunk(spark):
     assert "chunk" in cut_up.columns and cut_up.where("oid = 1 and submission_id = 'big'").select("chunk").distinct().count() > 3
     assert "chunk" not in orderbook._in_chunks(orderbook.order_log(events, 1 << 20), 1 << 20).columns
     compare(spark, streams, 16)
+
+
+def test_rows_of_orders_that_never_rest_are_kept_once(spark, monkeypatch):
+    """Only orders that open are gone through again; the log's other rows are neither shuffled nor written a second time."""
+    s = Stream("few")
+    for i in range(100):
+        s.submit(1000 + i, "buy", 100, 5)
+    s.rest(1, "buy", 100, 10)
+    s.rest(2, "sell", 101, 10)
+    s.fill(2, 1, 100, 3, 7)
+    made, cut = [], orderbook.cut
+
+    def counted(df, *by):
+        out = cut(df, *by)
+        made.append(out.count())
+        return out
+
+    monkeypatch.setattr(orderbook, "cut", counted)
+    book = compare(spark, {"few": s.rows}, 1 << 20)
+    assert book.log.count() == max(made) >= 106
+    assert sorted(made)[-2] <= 10
