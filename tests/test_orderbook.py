@@ -140,3 +140,50 @@ def test_rows_of_orders_that_never_rest_are_kept_once(spark, monkeypatch):
     book = compare(spark, {"few": s.rows}, 1 << 20)
     assert book.log.count() == max(made) >= 106
     assert sorted(made)[-2] <= 10
+
+
+def test_fills_of_fills_take_no_rounds(spark, monkeypatch):
+    """Each fill counts for its taker only if the one before it did; the tables written do not grow with such a chain."""
+    s = Stream("chain")
+    s.rest(1, "buy", 100, 5)
+    for i in range(2, 30):
+        s.rest(i, "sell" if i % 2 == 0 else "buy", 100, 5)
+        s.fill(i, i - 1, 100, 3 if i % 5 else 5, 2)
+    made, cut = [], orderbook.cut
+
+    def counted(df, *by):
+        made.append(by)
+        return cut(df, *by)
+
+    monkeypatch.setattr(orderbook, "cut", counted)
+    compare(spark, {"chain": s.rows}, 1 << 20)
+    assert len(made) <= 7
+
+
+def test_submissions_played_and_by_rounds_agree(spark):
+    """One submission is larger than a chunk, others are not; ids beyond 2^53, makers and quantities that are not known, negative fills."""
+    streams = {"big": random_stream("big", 41, n=300, irregular=True)}
+    streams |= {f"s{i}": random_stream(f"s{i}", 50 + i, n=60, irregular=True) for i in range(6)}
+    for rows in streams.values():
+        for n, e in enumerate(rows):
+            e["order_id"] += 1 << 60
+            if e["maker_order_id"] is not None:
+                e["maker_order_id"] = None if n % 37 == 0 else e["maker_order_id"] + (1 << 60)
+            if n % 41 == 0 and e["quantity"] is not None:
+                e["quantity"] = None
+            if n % 29 == 0 and e["fill_quantity"] is not None:
+                e["fill_quantity"] = -e["fill_quantity"]
+    state = lambda b: sorted(tuple(map(str, r)) for part in (b.fills, b.lives.drop("price")) for r in part.collect())
+    played = state(build(spark, list(streams.values())))
+    assert played == state(build(spark, list(streams.values()), 100)) == state(build(spark, list(streams.values()), 16))
+    assert len(played) > 200
+
+
+def test_a_cut_leaves_no_shuffle_files(spark):
+    files = lambda: spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().size()
+    rows = spark.range(1000).repartition(4, "id")
+    before = files()
+    assert orderbook.cut(rows).count() == 1000 and rows.count() == 1000
+    held = files()
+    orderbook.cut(rows.repartition(3, "id"))
+    assert files() <= held and before <= held
