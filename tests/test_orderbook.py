@@ -187,3 +187,24 @@ def test_a_cut_leaves_no_shuffle_files(spark):
     held = files()
     orderbook.cut(rows.repartition(3, "id"))
     assert files() <= held and before <= held
+
+
+def test_only_fills_of_resting_makers_meet_what_is_looked_up(spark, monkeypatch):
+    s = Stream("few")
+    s.rest(1, "buy", 100, 10)
+    for i in range(100):
+        s.submit(10 + i, "sell", 0, 1, "market")
+        s.fill(10 + i, 1 if i == 50 else 5000 + i, 100, 1, 0)
+    book, met = build(spark, [s.rows]), []
+    join = type(book.fills).join
+
+    def counted(self, other, on=None, how=None):
+        if how == "left" and isinstance(on, list) and all(isinstance(c, str) for c in on) and on[0] == "pos":
+            met.append(self.count())
+        return join(self, other, on, how)
+
+    monkeypatch.setattr(type(book.fills), "join", counted)
+    checked = rules.checked_fills(book)
+    assert met == [1]
+    assert checked.count() == 100 and checked.where("front_id = 1").count() == 1
+    assert checked.where("crossed_after is null").count() == 0
