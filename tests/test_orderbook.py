@@ -4,8 +4,8 @@ import pytest
 from book_cases import Stream, literal_cases, random_stream
 from book_model import Model
 
-from flowboard import schemas
-from flowboard.operators import orderbook, rules
+from flowboard import schemas, session
+from flowboard.operators import intervals, orderbook, rules
 
 
 def build(spark, streams, chunk_rows=1 << 20):
@@ -208,3 +208,26 @@ def test_only_fills_of_resting_makers_meet_what_is_looked_up(spark, monkeypatch)
     assert met == [1]
     assert checked.count() == 100 and checked.where("front_id = 1").count() == 1
     assert checked.where("crossed_after is null").count() == 0
+
+
+def test_prices_are_looked_up_in_small_plans(spark, monkeypatch):
+    """What the driver plans and compiles at once stays small: no table's plan holds the way to another one twice."""
+    book, sizes = build(spark, [random_stream("s", 3, n=60)]), []
+
+    def counted(cut):
+        def run(df, *by):
+            sizes.append(df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning"))
+            return cut(df, *by)
+        return run
+
+    for module in (rules, intervals):
+        monkeypatch.setattr(module, "cut", counted(session.cut), raising=False)
+    assert rules.checked_fills(book).count() == book.fills.count()
+    assert max(sizes) <= 10
+
+
+def test_fills_checked_whole_and_in_chunks_agree(spark):
+    streams = {f"s{i}": random_stream(f"s{i}", 70 + i, n=200, irregular=True) for i in range(4)}
+    book = build(spark, list(streams.values()))
+    state = lambda df: sorted(tuple(map(str, r)) for r in df.select(sorted(df.columns)).collect())
+    assert state(rules.checked_fills(book)) == state(rules.checked_fills(book, 32)) != []
