@@ -231,3 +231,13 @@ def test_fills_checked_whole_and_in_chunks_agree(spark):
     book = build(spark, list(streams.values()))
     state = lambda df: sorted(tuple(map(str, r)) for r in df.select(sorted(df.columns)).collect())
     assert state(rules.checked_fills(book)) == state(rules.checked_fills(book, 32)) != []
+
+
+def test_parts_of_the_log_are_written_and_deleted_one_at_a_time(spark, monkeypatch):
+    """Orders acked once and those acked more often are no one plan, and what the first leaves behind is gone before the second."""
+    made, cut, discard = [], orderbook.cut, orderbook.discard
+    monkeypatch.setattr(orderbook, "cut", lambda df, *by: made.append("cut") or cut(df, *by))
+    monkeypatch.setattr(orderbook, "discard", lambda df, part="": made.append(part) or discard(df, part))
+    book = build(spark, [random_stream("s", 5, n=80, irregular=True)])
+    first, second = made.index("part=1"), made.index("part=2")
+    assert "cut" in made[first:second] and book.log.count() > 80
